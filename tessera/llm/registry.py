@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, quality_rules, secrets_scan
+from tessera.llm import exact_dedup, mixing, near_dedup, quality_rules, secrets_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_documents(_documents(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_secret_scan, op7_mix_sources, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_secret_scan, op7_mix_sources, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
