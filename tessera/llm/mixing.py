@@ -173,3 +173,15 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END AS BIGINT) AS taken
 FROM p JOIN g USING (skey)
 """
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each document as often as the mix takes it whole, rounded; all columns as they were.
+
+    Rows that share an id share its mean. A document without words is never taken.
+    """
+    taken = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1)))).cast("int")
+    often = taken.select(F.col("doc_id").alias("_id"), copies.alias("_copies")).filter("_copies > 0")
+    joined = docs.join(often.hint("shuffle_hash"), docs[id_col].eqNullSafe(often["_id"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -32,17 +32,13 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
     "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-COST_SWAP, COST_BREAK, COST_DROP, COST_REPEAT = 1.0, 4.0, 0.3, 0.2
+COST_SWAP, COST_BREAK, COST_DROP, COST_REPEAT = 1.0, 7.0, 0.3, 0.2
 #: Code points of the letters that the model tells apart besides a to z.
 ACCENTED = "äöüß"
 
 _LETTER = r"[^\W\d_]"
-_LEET_CLASS = re.escape("".join(LEET))
-#: A token with a look-alike between letters, a letter three times over, or single characters spaced out.
-_SUSPECT = re.compile(
-    rf"(?<![^\s])(?=\S*{_LETTER})[^\s]*(?:(?<={_LETTER})[{_LEET_CLASS}]+(?={_LETTER})|(?<!\S)[{_LEET_CLASS}](?={_LETTER})|({_LETTER})\1\1)[^\s]*"
-    rf"|(?<![\w@$!|+*])(?:[\w@$!|+*][ .\-_~]){{3,}}[\w@$!|+*](?![\w@$!|+*])"
-)
+#: At least four single characters, spaced out.
+_SPACED = re.compile(r"(?<![\w@$!|+*])(?:[\w@$!|+*][ .\-_~]){3,}[\w@$!|+*](?![\w@$!|+*])")
 _WORD = re.compile(rf"{_LETTER}+")
 _SEPARATORS = " .-_~"
 MEMO = 100_000
@@ -91,6 +87,16 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(n / n.sum(axis=2, keepdims=True))
 
 
+#: Kinds of code points: letter, look-alike, separator, white space.
+_IS_LETTER, _IS_LEET, _IS_SEPARATOR, _IS_SPACE = 1, 2, 4, 8
+_KIND = np.array([(chr(i).isalpha()) * _IS_LETTER | (chr(i) in LEET) * _IS_LEET | (chr(i) in _SEPARATORS) * _IS_SEPARATOR | chr(i).isspace() * _IS_SPACE for i in range(0x3000)], dtype=np.uint8)
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    return x, np.where(x < len(_KIND), _KIND[np.minimum(x, len(_KIND) - 1)], _IS_LETTER)
+
+
 class Restorer:
     """Viterbi over character lattices; readings are remembered by stretch."""
 
@@ -99,8 +105,30 @@ class Restorer:
         self.memo: dict[str, str] = {}
 
     def restore(self, text: str) -> str:
-        """The lower-cased text with its suspicious stretches as they were most likely meant."""
-        return _SUSPECT.sub(lambda m: self.decode(m[0]), text.lower())
+        """The lower-cased text with its suspicious stretches as they were most likely meant: runs of spaced-out characters, and
+        tokens with a look-alike before a letter or with a letter three times over."""
+        text = text.lower()
+        x, kind = _codes(text)
+        if len(x) > 6:
+            gap = kind & (_IS_SEPARATOR | _IS_SPACE) > 0
+            if (~gap[:-6] & gap[1:-5] & ~gap[2:-4] & gap[3:-3] & ~gap[4:-2] & gap[5:-1] & ~gap[6:]).any():
+                text = _SPACED.sub(lambda m: self.decode(m[0]), text)
+                x, kind = _codes(text)
+        if len(x) < 3:
+            return text
+        letter = kind & _IS_LETTER > 0
+        core = np.zeros(len(x), dtype=bool)
+        core[:-1] = (kind[:-1] & _IS_LEET > 0) & letter[1:]
+        core[:-2] |= (x[:-2] == x[1:-1]) & (x[1:-1] == x[2:]) & letter[2:]
+        if not core.any():
+            return text
+        space = np.concatenate([[-1], np.flatnonzero(kind & _IS_SPACE > 0), [len(x)]])
+        out, at = [], 0
+        for k in np.unique(np.searchsorted(space, np.flatnonzero(core))).tolist():
+            start, end = int(space[k - 1]) + 1, int(space[k])
+            out += [text[at:start], self.decode(text[start:end])]
+            at = end
+        return "".join([*out, text[at:]])
 
     def decode(self, s: str) -> str:
         if (known := self.memo.get(s)) is None:
@@ -146,7 +174,13 @@ class Restorer:
 
 
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
-    return set(_WORD.findall(restorer.restore(text))) if text else set()
+    out: set[str] = set()
+    for token in set(restorer.restore(text).split()) if text else ():
+        if token.isalpha():
+            out.add(token)
+        else:
+            out.update(_WORD.findall(token))
+    return out
 
 
 def features_of(word: str) -> list[str]:
@@ -174,6 +208,7 @@ class Model:
     def __init__(self, weights: dict[str, tuple[int, int]], n_pos: int, n_neg: int, language: np.ndarray):
         self.weights, self.n, self.language = weights, (n_pos, n_neg), language
         self.coefficients = np.array([-2.0, 0.6, 0.2, 0.3, 0.0])
+        self.starts = {f[: BEGINNINGS[0]] if len(f) > BEGINNINGS[0] else f for f in weights}
 
     def weight(self, pos: float, neg: float, n_pos: float, n_neg: float) -> float:
         return float(np.log((pos + 0.3) / (n_pos + 0.6)) - np.log((neg + 0.3) / (n_neg + 0.6)))
@@ -183,6 +218,8 @@ class Model:
         n_pos, n_neg = self.n[0] - (own == 1), self.n[1] - (own == 0)
         found = []
         for w in words:
+            if w[: BEGINNINGS[0]] not in self.starts:
+                continue
             best = 0.0
             for f in features_of(w):
                 if (c := self.weights.get(f)) is not None:
