@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retail
+from tessera.plans import insurance, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retail,)
+MODULES = (retail, insurance)
 
 
 def queries() -> dict[str, Query]:
