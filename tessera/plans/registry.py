@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import insurance, retail
+from tessera.plans import insurance, order_quality, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retail, insurance)
+MODULES = (retail, insurance, order_quality)
 
 
 def queries() -> dict[str, Query]:
