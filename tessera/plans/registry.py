@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import insurance, order_quality, retail
+from tessera.plans import insurance, order_quality, people, retail, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retail, insurance, order_quality)
+MODULES = (retail, insurance, order_quality, people, spatial)
 
 
 def queries() -> dict[str, Query]:
