@@ -1,0 +1 @@
+"""Structured Streaming: message parsing, evolving loads with dead letters, change data capture, windows."""
