@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids and text_sha256, the digest of what the ids decode to."""
-    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text"))
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("text_sha256"))
+    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), digest_col="text_sha256").drop("text")
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "text_sha256")
 
 
 STAGES = [

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 LEAF_CHARS = 1 << 13
 LEAF_IDS = 1 << 12
 FIRST_WINDOW = 64
+ROWS_AT_ONCE = 64
 #: A letter of Latin-1, then an ASCII character that is no letter.
 _STABLE = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[\x00-@\\[-`{-\x7f])")
 
@@ -120,28 +121,40 @@ class Codec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS_AT_ONCE rows at most: the ids of a text take many times its bytes while they are Python numbers."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, ids_col: str = "token_ids") -> DataFrame:
-    """docs with the ids of each whole text in ids_col; null texts count as empty, empty texts have no ids.
+def encode_documents(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, ids_col: str = "token_ids", digest_col: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text in ids_col, and if named the SHA-256 of what the ids decode to in digest_col.
 
-    All other columns pass through Python untouched. ids_col must not be the name of another column.
+    Null texts count as empty, empty texts have no ids. All other columns pass through Python untouched. The new columns must not
+    have the name of another.
     """
     ranks, pat = ranks_path or default_ranks(), pattern or default_pattern()
-    if ids_col in docs.columns:
-        raise ValueError(f"{ids_col} is a column already")
+    if clash := {ids_col, digest_col} & set(docs.columns):
+        raise ValueError(f"{sorted(clash)} are columns already")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pat)
-        for batch in batches:
-            ids = pa.array([c.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+        for batch in _small(batches):
+            ids = [c.encode(t or "") for t in batch.column(at).to_pylist()]
+            new = [pa.array(ids, pa.list_(pa.int32()))]
+            if digest_col:
+                new.append(pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, ids_col, *[digest_col] * bool(digest_col)])
 
-    return docs.mapInArrow(run, docs.withColumn(ids_col, F.array().cast("array<int>")).schema)
+    out = docs.withColumn(ids_col, F.array().cast("array<int>"))
+    return docs.mapInArrow(run, (out.withColumn(digest_col, F.lit("")) if digest_col else out).schema)
 
 
 def decode_documents(coded: DataFrame, ids_col: str = "token_ids", ranks_path: str | None = None, pattern: str | None = None, bytes_col: str = "decoded") -> DataFrame:
@@ -151,7 +164,7 @@ def decode_documents(coded: DataFrame, ids_col: str = "token_ids", ranks_path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pat)
-        for batch in batches:
+        for batch in _small(batches):
             out = pa.array([c.decode(ids or []) for ids in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, bytes_col])
 
