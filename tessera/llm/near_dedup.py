@@ -4,8 +4,9 @@
 2. The representatives of a band key are its bucket. All are held against the bucket's first by their full sets. Links join
    classes into components.
 3. Buckets whose members are still in different components (passages that many texts share, loose clusters) go on exactly:
-   with shingles ordered from rare to common among those members, two sets that reach the similarity share one of the first
-   n - ceil(0.75 n) + 1 of each, and every such pair across components is verified.
+   with shingles ordered from rare to common among those members (by counts in cells), two sets that reach the similarity share one of the first
+   n - ceil(0.75 n) + 1 of each, at places that leave enough shingles after them. Each shingle's holders are first held against the
+   one that has it earliest; then every pair that is still across components and within reach is verified.
 
 Each step deals rows by class, bucket or shingle; hot keys are split. A pair that reaches the similarity exactly is missed by all
 32 bands of 4 with a chance of 5e-6.
@@ -14,11 +15,11 @@ Each step deals rows by class, bucket or shingle; hot keys are split. A pair tha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
@@ -29,6 +30,8 @@ from tessera.llm.components import components
 PERCENT = 75
 #: Members of one centre that are verified in one group of rows.
 SALT_ROWS = 512
+#: Cells in which shingles are counted, as a power of two; tasks that a hot shingle is dealt to.
+CELL_BITS, SALTS = 18, 8
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +125,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # 3. what is still apart in a bucket
     apart = _apart(members, found)
     if not apart.isEmpty():
-        more = scratch(_across(apart, sets), "near-pairs-2")
-        links2 = scratch(_verified(more, sets), "near-links-2")
-        if not links2.isEmpty():
-            both = components(links.unionByName(links2))
-            discard(found)
-            found = both
-        discard(links2)
-        discard(more)
+        rare = _rare(apart, sets)
+        for candidates in (_around_first, _across):  # the first links nearly all that can be linked, so few pairs are left
+            more = scratch(candidates(_components_of(rare, found)), "near-pairs-2")
+            new = scratch(_verified(more, sets), "near-links-2")
+            if not new.isEmpty():
+                both = scratch(links.unionByName(new), "near-links")
+                for t in (links, found):
+                    discard(t)
+                links, found = both, components(both)
+            discard(new)
+            discard(more)
+        discard(rare)
     discard(apart)
     for t in (members, sets, pairs, links):
         discard(t)
@@ -151,29 +158,88 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return scratch(join_hot(at, mixed, ["key"], "members", members.count()).select("node", "n", "component").distinct(), "near-apart")
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(shingle: np.ndarray) -> np.ndarray:
+    return (shingles.mixed(shingle) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingles -> cell, n of all rows of the task."""
+    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for batch in batches:
-        for i in range(batch.num_rows):
-            x = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py())), pa.array(x)], ["node", "shingle"])
-
-
-def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a rare shingle, distinct."""
-    grains = sets.join(apart.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(_exploded, "node long, shingle long").distinct()
-    grains = scratch(grains, "near-grains")
-    often = grains.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = join_hot(grains, often, ["shingle"], "df", grains.count())
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))).join(apart, "node")
-    rare = ranked.filter("df > 1 AND rank <= n - ceil(n * 0.75) + 1").select("shingle", "node", "n", "component")
-    rare = scratch(rare, "near-rare")
-    other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    near = rare.join(other, "shingle").filter(F.col("component") < F.col("c")).filter(_alike(F.col("n"), F.col("m")))
-    out = near.select(F.col("node").alias("a"), "b").distinct()
-    discard(grains)
+        for x in batch.column(0):
+            np.add.at(total, _cells(np.frombuffer(x.as_buffer(), dtype=np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+
+def _prefixes(counts) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, n, component, shingles -> shingle, node, n, component, rank of the shingles of the rarest cells."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
+                often = counts.value[_cells(x)]
+                order = np.lexsort((x, often))[: len(x) - -(-PERCENT * len(x) // 100) + 1]
+                rank = np.flatnonzero(often[order] > 1)  # a cell that holds one shingle of one set links nothing
+                k = len(rank)
+                same = [pa.array(np.full(k, batch.column(c)[i].as_py(), dtype=np.int64)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[order[rank]].view(np.int64)), *same, pa.array(rank + 1)], ["shingle", "node", "n", "component", "rank"])
+
+    return run
+
+
+#: Of two sets whose first common shingle has rank i of n and j of m, this bounds the intersection.
+def _in_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
+    return _alike(n, m) & ((100 + PERCENT) * (1 + F.least(n - i, m - j)) >= PERCENT * (n + m))
+
+
+def _rare(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """shingle, node, n, rank: of each node's rarest shingles, of which two sets that reach the similarity share one, those that
+    nodes of several components have. Written to scratch.
+
+    Any one order of all shingles serves; it is by the count of a shingle's cell, of which there are 2^CELL_BITS, then by the
+    shingle. So the counts are of a fixed size, and ranking needs neither a join nor a window.
+    """
+    own = sets.drop("n").join(apart, "node").select("node", "n", "component", "shingles")
+    sums = own.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = sums.select(F.col("cell").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int32)
+    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    del sums
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    first = scratch(own.mapInArrow(_prefixes(shared), "shingle long, node long, n long, component long, rank long"), "near-prefixes")
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    # a hot shingle's rows are dealt to SALTS tasks
+    salts = mixed.select("shingle", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = first.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    out = scratch(salted.join(salts, ["shingle", "salt"], "left_semi").select("shingle", "node", "n", "rank"), "near-rare")
+    discard(first)
     return out
 
 
+def _components_of(rare: DataFrame, found: DataFrame) -> DataFrame:
+    """rare with each node's component, of the shingles that more than one component has, and `holders`, the shingle's nodes."""
+    own = rare.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).filter("lo < hi")
+    return join_hot(own, mixed.select("shingle", "holders"), ["shingle"], "holders", rare.count())
+
+
+def _around_first(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each shingle's holders with the one that has it at the earliest place, where that can be a link; distinct."""
+    first = rare.groupBy("shingle").agg(F.min(F.struct(F.col("rank") / F.col("n"), "node", "n", "rank", "component")).alias("f"), F.count("*").alias("holders"))
+    first = first.select("shingle", "holders", F.col("f.node").alias("c"), F.col("f.n").alias("m"), F.col("f.rank").alias("j"), F.col("f.component").alias("other"))
+    near = join_hot(rare.drop("holders"), first, ["shingle"], "holders", rare.count()).filter(F.col("component") != F.col("other"))
+    near = near.filter(_in_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("j")))
+    return near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+
+def _across(rare: DataFrame) -> DataFrame:
+    """All pairs (a, b) of holders of a shingle in different components that can be links; distinct."""
+    other = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("rank").alias("j"))
+    near = rare.join(other, (rare["shingle"] == other["shingle"]) & (F.col("component") < F.col("c")) & _in_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("j")))
+    return near.select(F.col("node").alias("a"), "b").distinct()
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group, all columns as they were."""
     stay = near_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
