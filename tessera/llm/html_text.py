@@ -2,7 +2,8 @@
 
 The page is cut into blocks at block-level tags. Pass 1 decides by stop-word density, length and link density; what stands in
 navigation, forms, notices, comments and the like is out. Pass 2 gives each short, undecided block the label of its nearest decided
-neighbours. Inside an article the doubt goes the other way than outside it.
+neighbours. An article tag is only a prior: inside it less density will do and the doubt goes towards keeping, beside it the doubt goes
+towards leaving out. It is the other way round on a page with more dense text outside its articles than text inside them.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ BLOCK_TAGS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.30, 0.32
+ARTICLE_LOW, ARTICLE_HIGH = 0.05, 0.20
 MOST_LINKS = 0.33
 
 _TOKEN = re.compile(
@@ -138,22 +140,33 @@ def blocks(page: str) -> list[Block]:
 def classified(page: str) -> list[Block]:
     """Blocks with label `good` or `bad`."""
     found = blocks(page)
-    has_article = any(b.article and not b.out for b in found)
+    stops, links = [], []
     for b in found:
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        links = b.link_chars / max(len(b.text), 1)
-        if b.out or has_article and not b.article:
+        stops.append(sum(w in STOP_WORDS for w in words) / max(len(words), 1))
+        links.append(b.link_chars / max(len(b.text), 1))
+    texts = [(b, len(b.text), s) for b, s, k in zip(found, stops, links, strict=True) if not b.out and k <= MOST_LINKS]
+    inside = sum(n for b, n, _ in texts if b.article)
+    prior = inside > 0 and inside >= sum(n for b, n, s in texts if not b.article and n > LONG and s >= STOPS_HIGH)
+    # in a language without stop words here, density can't tell the blocks of an article apart
+    known = sum(n for _, n, s in texts if n >= SHORT and s >= ARTICLE_HIGH) > LONG
+    beside = [b.article != prior for b in found]
+    for b, density, linked in zip(found, stops, links, strict=True):
+        b.article = b.article and prior
+        if b.out:
             b.label = "bad"
-        elif links > MOST_LINKS:
-            b.label = "bad" if links > 0.8 or not b.article else "short"
+        elif linked > MOST_LINKS:
+            b.label = "bad" if linked > 0.8 or not b.article else "short"
         elif len(b.text) < SHORT:
             b.label = "short" if b.article or not b.link_chars else "bad"
         elif b.article:
-            b.label = "good"
-        elif stops >= STOPS_HIGH:
+            if density >= ARTICLE_HIGH or not known:
+                b.label = "good"
+            else:
+                b.label = "near" if density >= ARTICLE_LOW or len(b.text) <= LONG else "bad"
+        elif density >= STOPS_HIGH:
             b.label = "good" if len(b.text) > LONG else "near"
-        elif stops >= STOPS_LOW:
+        elif density >= STOPS_LOW:
             b.label = "near"
         else:
             b.label = "bad"
@@ -169,7 +182,7 @@ def classified(page: str) -> list[Block]:
             sides = (before[i] or "bad", after[i] or "bad")
             if b.article:
                 good = "good" in sides or "good" not in decided
-            elif b.label == "near":
+            elif b.label == "near" and not beside[i]:
                 good = "good" in sides or "good" not in decided
             else:
                 good = sides == ("good", "good")

@@ -307,6 +307,21 @@ def test_main_text_without_an_article():
     assert html_text.main_text(page) == " ".join(f"{long} Brief but in it. {long}".split())
 
 
+def test_main_text_beside_an_article_of_teasers():
+    long = "This is the text of the page and it has all of the words that a reader would want from it, as it was written for them. " * 3
+    card = "<article><a href=1>Other story</a><p>A teaser for a story that is on the site and that you may want to read next.</p></article>"
+    page = f"<body><div><p>{long}</p><p>Brief but in it.</p><p>{long}</p></div><div>{card * 3}</div></body>"
+    assert html_text.main_text(page) == " ".join(f"{long} Brief but in it. {long}".split())
+
+
+def test_main_text_leaves_out_dull_blocks_of_an_article():
+    long = "This is the text of the page and it has all of the words that a reader would want from it, as it was written for them. " * 3
+    dull = "Laptops Tablets Phones Cameras Printers Monitors Keyboards Cables Batteries Chargers Speakers Headphones " * 4
+    assert html_text.main_text(f"<article><p>{long}</p><p>{dull}</p><p>{long}</p></article>") == " ".join(f"{long} {long}".split())
+    other = "Kissa istui ikkunalla ja katseli lintuja koko aamun, kunnes aurinko nousi korkealle talojen yläpuolelle. " * 3
+    assert html_text.main_text(f"<article><p>{other}</p></article>") == other.strip()
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, sf, name):
     assert differences(registry.queries()[name](spark, sf), sf, registry.oracle_sql()[name]) == ""
