@@ -57,10 +57,9 @@ def statistics(column: pa.Array) -> np.ndarray:
         symbols, upper, digits, stops, shouts, bars, other, spaces, inner = count.T
         size = np.diff(cuts).astype(float)
         chars = np.maximum(size - spaces - inner, 1.0)
-        words, text = shingles.word_hashes(data, cuts)
+        words, text, length = shingles.word_hashes(data, cuts)
         ends = np.searchsorted(text, np.arange(n + 1))
         windows = shingles.mixed(words[:-2] * shingles._WORD[0] + words[1:-1] * shingles._WORD[1] + words[2:] * shingles._WORD[2]) if len(words) > 2 else words[:0]
-        bounds = np.flatnonzero(np.diff(np.concatenate([[0], (~shingles._SPACE[data]).view(np.int8), [0]])))
         x = np.zeros((n, len(NAMES)))
         raw = data.tobytes()
         for i in range(n):
@@ -82,9 +81,8 @@ def statistics(column: pa.Array) -> np.ndarray:
         letters = np.maximum(chars - symbols - digits - stops - shouts - other, 1.0)
         x[:, 0] = np.log1p(np.diff(ends))
         x[:, 1] = np.log(chars / w)
-        if len(bounds) >= 2 * len(words) > 0:
-            long = np.concatenate([[0.0], np.cumsum((bounds[1::2] - bounds[::2] > 12)[: len(words)])])
-            x[:, 2] = np.sqrt(np.maximum(long[np.minimum(ends[1:], len(long) - 1)] - long[np.minimum(ends[:-1], len(long) - 1)], 0) / w)
+        long = np.concatenate([[0], np.cumsum(length > 12)])
+        x[:, 2] = np.sqrt((long[ends[1:]] - long[ends[:-1]]) / w)
         x[:, 3], x[:, 4], x[:, 5] = np.sqrt(symbols / chars), np.sqrt(upper / letters), np.sqrt(digits / chars)
         x[:, 6], x[:, 7], x[:, 8], x[:, 9] = np.sqrt(stops / w), np.sqrt(shouts / w), np.sqrt(bars / w), np.sqrt(other / chars)
         x[np.diff(ends) == 0] = 0.0

@@ -51,8 +51,8 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of the text it is in); text i is data[cuts[i]:cuts[i + 1]]."""
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, number of the text it is in, its bytes); text i is data[cuts[i]:cuts[i + 1]]."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -67,7 +67,7 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
-    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(cuts, start, side="right") - 1
+    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(cuts, start, side="right") - 1, end - start
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,7 +90,7 @@ def sets_of(column: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
         if not len(data):
             yield from (np.zeros(0, dtype=np.uint64) for _ in range(at, to))
             continue
-        words, text = word_hashes(data, cuts)
+        words, text, _ = word_hashes(data, cuts)
         ends = np.searchsorted(text, np.arange(to - at + 1))
         n = max(len(words) - size + 1, 0)
         joined = np.zeros(n, dtype=np.uint64)

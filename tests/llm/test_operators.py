@@ -276,6 +276,17 @@ def test_held_out_classifiers(spark, docs, empty, module, column):
     assert module.classify(docs, spark.createDataFrame([(0, 1, 1), (0, 0, 0), (1, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")).count() == docs.count()
 
 
+def test_statistics_do_not_depend_on_neighbours():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in rows()] + ["extraordinarily long words uninterruptedly", "incomprehensible", "short one"]
+    each = np.concatenate([quality_model.statistics(pa.array([t], pa.string())) for t in texts])
+    assert np.array_equal(quality_model.statistics(pa.array(texts, pa.string())), each)
+    spread = [[len(w.encode()) > 12 for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    assert np.allclose(each[:, quality_model.NAMES.index("word_spread")], [(sum(v) / max(len(v), 1)) ** 0.5 for v in spread])
+
+
 @pytest.mark.parametrize("text", ["1d10t", "i d i o t", "idiooot", "cl0wn", "s.c.u.m", "m0r0n"])
 def test_restored_words(spark, text):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
