@@ -23,9 +23,11 @@ ORDERS = (1, 2, 3)
 MARKS = 96
 RIDGE = 1e-3
 SHARPNESS = 8.0
-#: Labelled texts that the model is fitted on: about so many of each language, of so many languages at most.
+#: A score weighs the best language against so many others at most, so that it doesn't sink as languages are added.
+RIVALS = 31
+#: Labelled texts that the model is fitted on: about so many of each language, fewer if all would be over FIT_ROWS, but one at least.
 FIT_PER_LANGUAGE = 400
-MOST_LANGUAGES = 32
+FIT_ROWS = 12_800
 UNKNOWN = "und"
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 ROWS_AT_ONCE = 64
@@ -78,13 +80,18 @@ def fit(bits: np.ndarray, labels: np.ndarray, marks: int = MARKS, ridge: float =
     s, u = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = s > 1e-6 * s.max()
     root = u[:, keep] / np.sqrt(s[keep])
-    k = np.concatenate([unpacked(bits[i : i + 256]) @ z.T for i in range(0, len(bits), 256)])
-    g = np.hstack([k @ root, np.ones((len(k), 1))])
-    y = np.where(labels[:, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
-    gw = g / np.array([(labels == v).sum() for v in labels])[:, None]
-    reg = ridge * np.eye(g.shape[1])
+    sizes = dict(zip(languages, map(len, each), strict=True))
+    share = np.array([1 / sizes[v] for v in labels])
+    gg, gy = 0.0, 0.0
+    for i in range(0, len(bits), 256):  # all rows at once would grow with rows times languages
+        g = unpacked(bits[i : i + 256]) @ z.T @ root
+        g = np.hstack([g, np.ones((len(g), 1))])
+        y = np.where(labels[i : i + 256, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
+        gw = g * share[i : i + 256, None]
+        gg, gy = gg + gw.T @ g, gy + gw.T @ y
+    reg = ridge * np.eye(len(gg))
     reg[-1, -1] = 1e-9
-    w = np.linalg.solve(gw.T @ g + reg, gw.T @ y)
+    w = np.linalg.solve(gg + reg, gy)
     return languages, z, np.vstack([root @ w[:-1], w[-1:]]).astype(np.float32)
 
 
@@ -101,10 +108,10 @@ class Model:
             x, known = spectra(texts[a : a + ROWS_AT_ONCE])
             s = (x @ self.marks.T) @ self.weights[:-1] + self.weights[-1]
             e = np.exp(SHARPNESS * (s - s.max(axis=1, keepdims=True)) / 2)
-            p = e / e.sum(axis=1, keepdims=True)
             best = s.argmax(axis=1)
+            rest = (e.sum(axis=1) - 1.0) * min(1.0, RIVALS / max(len(self.languages) - 1, 1))
             names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            scores.append(np.where(known, p[np.arange(len(best)), best], 0.0))
+            scores.append(np.where(known, 1.0 / (1.0 + rest), 0.0))
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
@@ -120,9 +127,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a bounded sample of the rows that have a language and aren't held out; only spectra of 2 KB come to the driver."""
-    may = docs.filter(F.col(lang_col).isNotNull() & (remainder(id_col, HELD_OUT_PARTS) != HELD_OUT))
-    sample = stratified(may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "id", "lang", FIT_PER_LANGUAGE, MOST_LANGUAGES)
+    """Fits on a bounded sample of the rows that have a language and a letter and aren't held out; every language among them is
+    learnt. Only spectra of 2 KB come to the driver."""
+    may = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (remainder(id_col, HELD_OUT_PARTS) != HELD_OUT))
+    sample = stratified(may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "id", "lang", "text", FIT_PER_LANGUAGE, FIT_ROWS)
     rows = sample.select("lang", "text").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
     bits = np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in rows], dtype=np.uint8).reshape(len(rows), SPECTRUM // 8)
     some = bits.any(axis=1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import scratch
+
 #: Hash values that a share is measured in.
 FINE = 1_000_000
 
@@ -14,9 +16,12 @@ def remainder(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def stratified(rows: DataFrame, id_col: str, stratum: str, per_stratum: int, most_strata: int) -> DataFrame:
-    """About per_stratum rows of each of the most_strata largest strata, the same ones in every run: a stratum's rows stay whose
-    hashed id lies under per_stratum / its size."""
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), stratum).limit(most_strata)
+def stratified(rows: DataFrame, id_col: str, stratum: str, text_col: str, per_stratum: int, most_rows: int) -> DataFrame:
+    """About per_stratum rows of each stratum, the same ones in every run: a stratum's rows stay whose hashed id lies under
+    per_stratum / its size, and one row in any case. With more than most_rows / per_stratum strata the share of each shrinks."""
+    one = F.xxhash64(F.lit("one"), F.col(id_col), F.col(text_col))
+    sizes = scratch(rows.groupBy(stratum).agg(F.count("*").alias("_size"), F.min(one).alias("_one")), "strata")
+    each = F.lit(max(1, min(per_stratum, most_rows // max(sizes.count(), 1))))
     picked = rows.join(F.broadcast(sizes), stratum)
-    return picked.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(FINE)) < F.lit(FINE) * per_stratum / F.col("_size")).drop("_size")
+    low = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(FINE)) < F.lit(FINE) * each / F.col("_size")
+    return picked.filter(low | (one == F.col("_one"))).drop("_size", "_one")

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, registry, secrets_scan, shingles, toxicity
+from tessera.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, registry, sampling, secrets_scan, shingles, toxicity
 from tests.oracle import differences
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, digest string, size string, node string, row string, key string, run string, t string, x string"
@@ -264,6 +264,30 @@ def test_held_out_language_accuracy(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    data = []
+    for k in range(40):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(60)]
+        data += [(100 * k + i, " ".join(r.choice(words) for _ in range(40)), f"l{k}") for i in range(8 + k)]
+    data += [(9000 + i, " 12 ", "blank") for i in range(3)]
+    many = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language_id.identify(many, language_id.train(many)).collect()}
+    assert all(got[i].lang_pred == v for i, _, v in data if v != "blank")
+    assert {x.doc_id for x in corpus_pipeline.keep_languages(spark, many, "").collect()} == {i for i, _, v in data if v != "blank"}
+    few = sampling.stratified(many, "doc_id", "lang", "text", 400, 10).groupBy("lang").count().collect()
+    assert {x.lang for x in few} == {v for _, _, v in data}
+
+
+def test_language_scores_do_not_sink_with_more_languages():
+    import numpy as np
+
+    model = language_id.Model([str(i) for i in range(3000)], np.ones((1, language_id.SPECTRUM), np.float32), np.vstack([np.zeros((1, 3000)), [[0.5] + [-1.0] * 2999]]).astype(np.float32))
+    assert model.predict(["some text"])[1][0] > 0.9
+
+
 @pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality_model, "quality")])
 def test_held_out_classifiers(spark, docs, empty, module, column):
     real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
