@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
@@ -44,11 +44,12 @@ def distances(spark, sf_dir):
 
 
 def kth_distance(spark, sf_dir):
-    """Distance of rank 10 and how many share it; ranks are taken among the 1000 nearest."""
-    near = geo.nearest(points(spark, sf_dir), "lat", "lon", CENTRES["mumbai"], 1000, "id").select("id", half_up("metres", 1).alias("metres"))
-    ranked = near.withColumn("r", F.row_number().over(Window.orderBy("metres", "id")))
-    tenth = ranked.filter("r = 10").select(F.col("metres").alias("tenth"))
-    return near.join(F.broadcast(tenth), F.col("metres") == F.col("tenth")).groupBy("tenth").agg(F.count("*").alias("ties"))
+    """Distance of rank 10 and how many of all points share it."""
+    p, centre = points(spark, sf_dir), CENTRES["mumbai"]
+    ten = geo.nearest(p, "lat", "lon", centre, 10, "id").select(half_up("metres", 1).alias("metres"))
+    tenth = ten.agg(F.max("metres").alias("tenth"), F.count("*").alias("n")).filter("n = 10").select("tenth")
+    every = p.filter("lat IS NOT NULL AND lon IS NOT NULL").select(half_up(geo.haversine(F.col("lat"), F.col("lon"), F.lit(centre[0]), F.lit(centre[1])), 1).alias("metres"))
+    return every.join(F.broadcast(tenth), F.col("metres") == F.col("tenth")).groupBy("tenth").agg(F.count("*").alias("ties"))
 
 
 def construction_checks(spark, sf_dir):

@@ -1,5 +1,8 @@
 """Every named query against its DuckDB twin."""
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.plans import registry
@@ -14,3 +17,13 @@ def test_query(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
+
+
+def test_kth_distance_counts_all_ties(spark, sf, tmp_path):
+    for f in os.listdir(sf):
+        os.symlink(f"{sf}/{f}", tmp_path / f)
+    (tmp_path / "customer.parquet").unlink()
+    pq.write_table(pq.read_table(f"{sf}/customer.parquet").take([1] * 3000), tmp_path / "customer.parquet")
+    got = registry.queries()["gis_kth_distance"](spark, str(tmp_path))
+    assert [r.ties for r in got.collect()] == [3000]
+    assert differences(got, str(tmp_path), registry.oracle_sql()["gis_kth_distance"]) == ""
