@@ -46,23 +46,21 @@ RULES = (
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t (the text), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of every row.
 
-    Repeated windows: a 64-bit hash of each 3-word window gives its low bits up to the window's number; in the sorted array
-    equal windows are neighbours, so one pass over pairs of neighbours finds all that occur again. With w bits for the number,
-    two different windows of a text of n words pass for equal with a chance of about n^2 / 2^(65 - w), 10^-11 at 500 words.
+    Repeated windows: each 3-word window becomes its 64-bit hash, its words and its number; in the sorted array equal windows are
+    neighbours, so one pass over pairs of neighbours finds all that occur again. The words decide, the hash only makes sorting fast.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
     trimmed = F.regexp_replace("t", r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     t = t.withColumn("words", F.filter(F.split(trimmed, SPACES), lambda w: w != ""))
     t = t.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    t = t.withColumn("n_words", F.size("words")).withColumn("bits", F.ceil(F.log2(F.col("n_words") + 2)).cast("int"))
-    key = lambda i: F.call_function("shiftleft", F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))
+    t = t.withColumn("n_words", F.size("words"))
+    three = lambda i: [F.get("words", i + k) for k in range(3)]
+    key = lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), *[w.alias(f"w{k}") for k, w in enumerate(three(i))], i.alias("i"))
     keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words") - 3), key))
     t = t.withColumn("keys", F.when(F.col("n_words") > 3, keys))
     pairs = F.arrays_zip(F.slice("keys", 1, F.size("keys") - 1).alias("a"), F.slice("keys", 2, F.size("keys") - 1).alias("b"))
-    high = lambda x: F.call_function("shiftrightunsigned", x, F.col("bits"))
-    same = F.filter(pairs, lambda p: high(p["a"]) == high(p["b"]))
-    number = lambda x: (x - F.call_function("shiftleft", F.call_function("shiftright", x, F.col("bits")), F.col("bits"))).cast("int")
-    windows = F.array_distinct(F.flatten(F.transform(same, lambda p: F.array(number(p["a"]), number(p["b"])))))
+    same = F.filter(pairs, lambda p: (p["a"]["h"] == p["b"]["h"]) & (p["a"]["w0"] == p["b"]["w0"]) & (p["a"]["w1"] == p["b"]["w1"]) & (p["a"]["w2"] == p["b"]["w2"]))
+    windows = F.array_distinct(F.flatten(F.transform(same, lambda p: F.array(p["a"]["i"], p["b"]["i"]))))
     covered = F.array_distinct(F.flatten(F.transform(windows, lambda i: F.array(i, i + 1, i + 2))))
     without = lambda chars: F.char_length(F.translate("t", chars, ""))
     return t.select(

@@ -243,6 +243,12 @@ def test_quality_rules(docs, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_repeated_windows_are_told_apart_by_words(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(7).cast("long"))  # all hashes clash
+    texts = spark.createDataFrame([(1, "a b c d e f a b c g"), (2, "a b c d e f g h")], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.with_statistics(texts).collect()} == {1: 6, 2: 0}
+
+
 def test_cascade_order_changes_no_verdict(docs):
     stats = quality_rules.with_statistics(docs)
     a = stats.select("doc_id", quality_rules.cascade(list(quality_rules.RULES)).isNull().alias("kept"))
