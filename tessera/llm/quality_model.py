@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import scratch
+from tessera.llm.common import hold_batches, scratch
 from tessera.llm.sampling import remainder
 
 NAMES = (
@@ -40,58 +40,63 @@ def _mask(chars: bytes) -> np.ndarray:
 _CLASSES = np.array([
     _mask(b"#*$%&|<>"), _mask(bytes(range(65, 91))), _mask(b"0123456789"), _mask(b".,"), _mask(b"!?"), _mask(b"|"),
     _mask(b"-_/\\()[]{}=+:;\"'`~@^"), _mask(b" \t\n\x0b\f\r"), _mask(bytes(range(128, 192))),
-])
+], dtype=np.int64)
+
+
+def _counted(data: np.ndarray) -> np.ndarray:
+    """How often each class of bytes occurs."""
+    total = np.zeros(256, dtype=np.int64)
+    for a in range(0, len(data), shingles.BLOCK):
+        total += np.bincount(data[a : a + shingles.BLOCK], minlength=256)
+    return _CLASSES @ total
+
+
+def _repeats(hashes: np.ndarray) -> tuple[int, int, int]:
+    """(distinct values, rows of the commonest, rows of values that occur again)."""
+    _, n = np.unique(hashes, return_counts=True)
+    return len(n), int(n.max()), int(n[n > 1].sum())
 
 
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of NAMES for each text."""
-    out = []
+    out = [np.zeros((0, len(NAMES)))]
     for at, to, data, cuts in shingles.texts_of(column):
         n = to - at
+        x = np.zeros((n, len(NAMES)))
+        out.append(x)
         if not len(data):
-            out.append(np.zeros((n, len(NAMES))))
             continue
-        sums = np.zeros((len(_CLASSES), len(data) + 1))
-        np.cumsum(_CLASSES[:, data], axis=1, out=sums[:, 1:])
-        count = (sums[:, cuts[1:]] - sums[:, cuts[:-1]]).T
-        symbols, upper, digits, stops, shouts, bars, other, spaces, inner = count.T
-        size = np.diff(cuts).astype(float)
-        chars = np.maximum(size - spaces - inner, 1.0)
-        words, text, length = shingles.word_hashes(data, cuts)
+        words, text, start, end = shingles.word_hashes(data, cuts)
         ends = np.searchsorted(text, np.arange(n + 1))
         windows = shingles.mixed(words[:-2] * shingles._WORD[0] + words[1:-1] * shingles._WORD[1] + words[2:] * shingles._WORD[2]) if len(words) > 2 else words[:0]
-        x = np.zeros((n, len(NAMES)))
-        raw = data.tobytes()
         for i in range(n):
             a, b = int(ends[i]), int(ends[i + 1])
             w = b - a
             if not w:
                 continue
-            _, often = np.unique(words[a:b], return_counts=True)
-            rep = 0.0
-            if w > 3:
-                _, c = np.unique(windows[a : b - 2], return_counts=True)
-                rep = float(c[c > 1].sum()) / (w - 2)
-            lines = [v for v in raw[cuts[i] : cuts[i + 1]].split(b"\n") if v.strip()]
-            x[i, 10:] = (
-                np.log(len(often)) / np.log(w + 1.0), np.sqrt(often.max() / w), np.sqrt(rep), np.sqrt(1 - len(set(lines)) / len(lines)),
-                np.log1p(w / len(lines)), sum(len(v) < 30 for v in lines) / len(lines),
+            own = data[cuts[i] : cuts[i + 1]]
+            symbols, upper, digits, stops, shouts, bars, other, spaces, inner = _counted(own).tolist()
+            chars = max(len(own) - spaces - inner, 1.0)
+            letters = max(chars - symbols - digits - stops - shouts - other, 1.0)
+            different, top, _ = _repeats(words[a:b])
+            again = _repeats(windows[a : b - 2])[2] / (w - 2) if w > 3 else 0.0
+            # lines that hold a word
+            feeds = np.flatnonzero(own == 10)
+            line = np.unique(np.searchsorted(feeds, start[a:b] - cuts[i]))
+            begin, stop = np.concatenate([[0], feeds + 1])[line], np.concatenate([feeds, [len(own)]])[line]
+            lines = len(np.unique(shingles.span_hashes(own, begin, stop)))
+            x[i] = (
+                np.log1p(w), np.log(chars / w), np.sqrt((end[a:b] - start[a:b] > 12).sum() / w), np.sqrt(symbols / chars), np.sqrt(upper / letters), np.sqrt(digits / chars),
+                np.sqrt(stops / w), np.sqrt(shouts / w), np.sqrt(bars / w), np.sqrt(other / chars),
+                np.log(different) / np.log(w + 1.0), np.sqrt(top / w), np.sqrt(again), np.sqrt(1 - lines / len(line)),
+                np.log1p(w / len(line)), (stop - begin < 30).sum() / len(line),
             )
-        w = np.maximum(np.diff(ends).astype(float), 1.0)
-        letters = np.maximum(chars - symbols - digits - stops - shouts - other, 1.0)
-        x[:, 0] = np.log1p(np.diff(ends))
-        x[:, 1] = np.log(chars / w)
-        long = np.concatenate([[0], np.cumsum(length > 12)])
-        x[:, 2] = np.sqrt((long[ends[1:]] - long[ends[:-1]]) / w)
-        x[:, 3], x[:, 4], x[:, 5] = np.sqrt(symbols / chars), np.sqrt(upper / letters), np.sqrt(digits / chars)
-        x[:, 6], x[:, 7], x[:, 8], x[:, 9] = np.sqrt(stops / w), np.sqrt(shouts / w), np.sqrt(bars / w), np.sqrt(other / chars)
-        x[np.diff(ends) == 0] = 0.0
-        out.append(x)
-    return np.concatenate(out) if out else np.zeros((0, len(NAMES)))
+    return np.concatenate(out)
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x (the statistics) of every row."""
+    hold_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Word shingles of whole texts as sorted arrays of 64-bit hashes, and the fast similarity sketch of such a set.
 
 Everything works on the bytes of many texts at once. A word's hash is a polynomial over its lower-cased bytes, read off prefix
-sums; a shingle's hash mixes those of its words in order.
+sums of blocks, so that a long text needs a few numbers for each word but none for each byte; a shingle's hash mixes those of its
+words in order.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ SIZE = 5
 COORDINATES = 128
 ROWS = 4
 BANDS = COORDINATES // ROWS
-CHUNK_BYTES = 1 << 21
+#: Bytes of short texts that are looked at together, and of a block in which hashes are summed.
+CHUNK_BYTES, BLOCK = 1 << 19, 1 << 18
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -31,7 +33,7 @@ _LOWER[65:91] += 32
 _VALUE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_tables: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,18 +43,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse up to n at least."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n + 1, b, dtype=np.uint64)
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse for the places of a block."""
+    if not _tables:
+        for b in (_BASE, _INVERSE):
+            p = np.full(BLOCK + 1, b, dtype=np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, number of the text it is in, its bytes); text i is data[cuts[i]:cuts[i + 1]]."""
+            _tables.append(np.multiply.accumulate(p))
+    return _tables
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the lower-cased bytes of the spans, which rise and don't overlap: sums of value times base to the place in the span."""
+    power, inverse = _powers()
+    h = np.zeros(len(start), dtype=np.uint64)
+    for a in range(0, len(data), BLOCK):
+        b = min(a + BLOCK, len(data))
+        lo, hi = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b))
+        if lo >= hi:
+            continue
+        total = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[data[a:b]] * power[: b - a], out=total[1:])
+        s, e = np.maximum(start[lo:hi], a) - a, np.minimum(end[lo:hi], b) - a
+        part = (total[e] - total[s]) * inverse[s]
+        if start[lo] < a:  # a span that goes on from the block before
+            part[:1] *= np.array([pow(_BASE, int(a - start[lo]), 1 << 64)], dtype=np.uint64)
+        h[lo:hi] += part
+    return mixed(h + (end - start).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, number of the text it is in, its start, its end); text i is data[cuts[i]:cuts[i + 1]]."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -63,11 +84,7 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     tails = cuts[1:][cuts[1:] > 0] - 1
     last[tails] = inside[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _grown(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(cuts, start, side="right") - 1, end - start
+    return span_hashes(data, start, end), (np.searchsorted(cuts, start, side="right") - 1).astype(np.int32), start, end
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,7 +107,7 @@ def sets_of(column: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
         if not len(data):
             yield from (np.zeros(0, dtype=np.uint64) for _ in range(at, to))
             continue
-        words, text, _ = word_hashes(data, cuts)
+        words, text, _, _ = word_hashes(data, cuts)
         ends = np.searchsorted(text, np.arange(to - at + 1))
         n = max(len(words) - size + 1, 0)
         joined = np.zeros(n, dtype=np.uint64)
