@@ -24,12 +24,14 @@ def _ends(up: DataFrame) -> DataFrame:
     while True:
         n = up.count()
         sizes = up.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("under"))
-        table = up.filter("up < node").select("node", F.col("up").alias("next")).join(sizes, "node")
+        table = scratch(up.filter("up < node").select("node", F.col("up").alias("next")).join(sizes, "node"), "ends")
         if table.isEmpty():
+            discard(table)
             return up
         new = join_hot(up.select(F.col("node").alias("v"), F.col("up").alias("node"), "links"), table, ["node"], "under", n, "left")
         new = scratch(new.select(F.col("v").alias("node"), F.coalesce("next", "node").alias("up"), "links"), "pointers")
         discard(up)
+        discard(table)
         up = new
 
 
@@ -47,13 +49,15 @@ def components(links: DataFrame) -> DataFrame:
             new = scratch(up.select("node", F.col("up").alias("component")), "components")
         else:
             weight = found.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("w"))
-            moved = join_hot(found.withColumnRenamed("node", "v").withColumnRenamed("component", "node"), up.select("node", "up").join(weight, "node"), ["node"], "w", found.count(), "left")
+            table = scratch(up.select("node", "up").join(weight, "node"), "moves")
+            moved = join_hot(found.withColumnRenamed("node", "v").withColumnRenamed("component", "node"), table, ["node"], "w", found.count(), "left")
             new = scratch(moved.select(F.col("v").alias("node"), F.coalesce("up", "node").alias("component")), "components")
+            discard(table)
         if not n:
             discard(links)
             discard(up)
             return new
-        point = up.select("node", "up", "links")
+        point = up  # node, up, links
         once = join_hot(links.withColumnRenamed("a", "node"), point, ["node"], "links", n).select(F.col("up").alias("a"), F.col("b").alias("node"))
         drawn = join_hot(once, point, ["node"], "links", n).select("a", F.col("up").alias("b")).filter("a <> b")
         redrawn = scratch(drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
