@@ -1,9 +1,13 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Each input partition is a run of (digest, smallest row, count), sorted by digest. In every round blocks of FAN_IN neighbouring
-runs merge into one: rows are dealt by (block, digest), so the copies of one text, however many, reach a task only as one entry
-from each run, and the smallest identifier and the count survive. After log_FAN_IN(runs) rounds one run is left.
-An entry is the same text only if the SHA-256, an independent 64-bit hash and the length all agree.
+Each input partition gives a run: entries (digest, smallest identifier, count) in the order of the digests, one for each of its
+texts. In every round FAN_IN neighbouring runs become one. A round is two sort aggregates: the first sorts what a task holds and
+leaves one entry for each text and run, the exchange deals entries by digest, and the second merges what came from all runs of the
+block in the order of the digests, keeping the smallest identifier and the sum of the counts. After log_FAN_IN(runs) rounds one run
+is left. The copies of one text, however many, cross an exchange only as one entry from each run.
+
+At every level an identifier is kept only if it is verified: entries are of one text if the SHA-256, an independent 64-bit hash and
+the length all agree, and an entry that agrees in the digest alone stays a text of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, discard, join_hot, scratch, whole
+from tessera.llm.common import SPACES, join_hot, scratch, thinned, whole
 
 FAN_IN = 16
 KEY = ["digest", "witness", "n_octets"]
@@ -27,11 +31,11 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return text.select(
         F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row"), "doc_id",
         F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("witness"), F.octet_length("t").alias("n_octets"),
-    ).sortWithinPartitions("digest")
+    )
 
 
 def merge_runs(runs: DataFrame, last_run: int, fan_in: int = FAN_IN) -> DataFrame:
-    """The rounds. Returns a row per text: its key, keep_id, keep_row and group_size."""
+    """The rounds. Returns a row per text: its key, keep_id, keep_row and group_size. The least of a struct makes Spark sort, not hash."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     level, block = runs.withColumn("first", first).withColumn("n", F.lit(1).cast("long")), 1
     while True:
@@ -60,14 +64,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha_own", F.unhex(F.sha2(normalised(text_col), 256)))
-    same = marked[id_col].eqNullSafe(stay["_keep"]) & (marked["_sha_own"] == stay["_sha"])
-    return marked.join(stay.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "_sha_own"]).select(*docs.columns)
+    """docs with one row of each group of equal texts, all columns as they were: the one with the smallest doc_id, a null one counting
+    as largest.
 
+    Null texts count as empty. Of rows that agree in doc_id and text the same one stays in every run. No column name can clash. An
+    empty table gives an empty result.
+    """
+    odd = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    odd = odd.filter("n > 1 OR NOT stays").select("doc_id", F.unhex("text_sha256").alias("sha"), "stays")
+    return thinned(docs, [F.col(id_col), F.unhex(F.sha2(normalised(text_col), 256))], scratch(odd, "exact-odd"))
 
-__all__ = ["digest_runs", "merge_runs", "exact_groups", "deduplicate", "discard"]
 
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
