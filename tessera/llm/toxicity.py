@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hold_batches, one_of_each, scratch
 from tessera.llm.sampling import remainder
 
 HELD_OUT_PARTS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Labelled documents that the weights are learnt from, of each class at most.
 FIT_PER_CLASS = 6000
-#: A feature is kept if so many toxic documents have it and its odds ratio is at least this; so many are kept at most.
-LEAST_DOCS, LEAST_RATIO, MOST_FEATURES = 3, 6.0, 50_000
+#: A feature is kept if so many of these toxic documents have it and its odds ratio is at least this.
+LEAST_DOCS, LEAST_RATIO = 3, 6.0
 BEGINNINGS = range(4, 9)
 SYMBOLS = 32
 #: Look-alikes.
@@ -33,14 +34,18 @@ LEET = {
     "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 COST_SWAP, COST_BREAK, COST_DROP, COST_REPEAT = 1.0, 7.0, 0.3, 0.2
+#: Look-alikes that after a letter are more often punctuation.
+CLOSING = "!|+*("
 #: Code points of the letters that the model tells apart besides a to z.
 ACCENTED = "äöüß"
 
 _LETTER = r"[^\W\d_]"
-#: At least four single characters, spaced out.
-_SPACED = re.compile(r"(?<![\w@$!|+*])(?:[\w@$!|+*][ .\-_~]){3,}[\w@$!|+*](?![\w@$!|+*])")
+#: At least three single characters, spaced out by one to three separators each.
+_SPACED = re.compile(r"(?<![^\W_])(?<![@$!|+*])(?:(?:[^\W_]|[@$!|+*])[ .\-_~/]{1,3}+){2,}(?:[^\W_]|[@$!|+*])(?![^\W_])(?![@$!|+*])")
 _WORD = re.compile(rf"{_LETTER}+")
-_SEPARATORS = " .-_~"
+#: A character three times over or more: a letter that was drawn out.
+_DRAWN = re.compile(r"(\S)\1{2,}")
+_SEPARATORS = " .-_~/"
 MEMO = 100_000
 
 
@@ -88,8 +93,11 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 #: Kinds of code points: letter, look-alike, separator, white space.
-_IS_LETTER, _IS_LEET, _IS_SEPARATOR, _IS_SPACE = 1, 2, 4, 8
-_KIND = np.array([(chr(i).isalpha()) * _IS_LETTER | (chr(i) in LEET) * _IS_LEET | (chr(i) in _SEPARATORS) * _IS_SEPARATOR | chr(i).isspace() * _IS_SPACE for i in range(0x3000)], dtype=np.uint8)
+_IS_LETTER, _IS_LEET, _IS_SEPARATOR, _IS_SPACE, _IS_CLOSING = 1, 2, 4, 8, 16
+_KIND = np.array(
+    [(chr(i).isalpha()) * _IS_LETTER | (chr(i) in LEET) * _IS_LEET | (chr(i) in _SEPARATORS) * _IS_SEPARATOR | chr(i).isspace() * _IS_SPACE | (chr(i) in CLOSING) * _IS_CLOSING for i in range(0x3000)],
+    dtype=np.uint8,
+)
 
 
 def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +114,20 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The lower-cased text with its suspicious stretches as they were most likely meant: runs of spaced-out characters, and
-        tokens with a look-alike before a letter or with a letter three times over."""
+        tokens with a look-alike beside a letter or with a letter three times over."""
         text = text.lower()
         x, kind = _codes(text)
-        if len(x) > 6:
-            gap = kind & (_IS_SEPARATOR | _IS_SPACE) > 0
-            if (~gap[:-6] & gap[1:-5] & ~gap[2:-4] & gap[3:-3] & ~gap[4:-2] & gap[5:-1] & ~gap[6:]).any():
-                text = _SPACED.sub(lambda m: self.decode(m[0]), text)
-                x, kind = _codes(text)
+        gap = np.concatenate([[True], kind & (_IS_SEPARATOR | _IS_SPACE) > 0, [True]])
+        single = np.flatnonzero(gap[:-2] & ~gap[1:-1] & gap[2:])
+        if len(single) > 2 and (single[2:] - single[:-2] <= 8).any():
+            text = _SPACED.sub(lambda m: self.decode(m[0]), text)
+            x, kind = _codes(text)
         if len(x) < 3:
             return text
-        letter = kind & _IS_LETTER > 0
+        letter, leet = kind & _IS_LETTER > 0, kind & _IS_LEET > 0
         core = np.zeros(len(x), dtype=bool)
-        core[:-1] = (kind[:-1] & _IS_LEET > 0) & letter[1:]
+        core[:-1] = leet[:-1] & letter[1:]
+        core[1:] |= leet[1:] & letter[:-1] & (kind[1:] & _IS_CLOSING == 0)
         core[:-2] |= (x[:-2] == x[1:-1]) & (x[1:-1] == x[2:]) & letter[2:]
         if not core.any():
             return text
@@ -138,10 +147,19 @@ class Restorer:
         return known
 
     def _decode(self, s: str) -> str:
-        spaced = bool(re.match(r"\S[ .\-_~]\S[ .\-_~]\S", s))
+        path, out = self.cheapest(s)[1], []
+        while path is not None:
+            path, ch = path
+            out.append(ch)
+        return "".join(reversed(out)).strip()
+
+    def cheapest(self, s: str) -> tuple[float, tuple | None]:
+        """Cost and linked outputs of the likeliest reading, by Viterbi over what each character may have been."""
+        spaced = bool(re.match(r"\S[ .\-_~/]+\S[ .\-_~/]+\S(?:[ .\-_~/]|$)", s))
         # state: last two symbols and the last output letter -> (cost, linked list of outputs)
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
-        for ch in s + " ":
+        drawn = {i for m in _DRAWN.finditer(s) for i in range(*m.span())}
+        for i, ch in enumerate(s + " "):
             if ch.isalpha():
                 choices = [(ch, 0.0)]
             elif ch in LEET:
@@ -159,18 +177,14 @@ class Restorer:
                     else:
                         v = symbol(out)
                         key, c, p = (b, v, out), cost + extra + row[v], (path, out)
-                        if out == last and v:  # drawn out: the same letter again, unsaid
+                        if out == last and v and i in drawn:  # the same letter again, unsaid
                             k2, c2 = (a, b, last), cost + extra + COST_REPEAT
                             if c2 < new.get(k2, (1e300,))[0]:
                                 new[k2] = (c2, path)
                     if c < new.get(key, (1e300,))[0]:
                         new[key] = (c, p)
             states = new
-        path, out = min(states.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
-        while path is not None:
-            path, ch = path
-            out.append(ch)
-        return "".join(reversed(out)).strip()
+        return min(states.items(), key=lambda x: (x[1][0], x[0]))[1]
 
 
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
@@ -188,20 +202,27 @@ def features_of(word: str) -> list[str]:
     return [word, *[word[:k] + "-" for k in BEGINNINGS if k <= len(word)]]
 
 
-def _learnt(model) -> callable:
+def _words(model) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text, toxic -> feature, toxic documents, others."""
-        restorer, seen = Restorer(model.value), (Counter(), Counter())
+        """y, text -> y, words of the restored text."""
+        restorer = Restorer(model.value)
         for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({f for w in words_of(t.as_py(), restorer) for f in features_of(w)})
-            names = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["feature", "pos", "neg"])
-            seen = (Counter(), Counter())
+            words = [sorted(words_of(t.as_py(), restorer)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
     return run
 
 
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """y, words -> feature, toxic documents, others."""
+    for batch in batches:
+        seen = (Counter(), Counter())
+        for y, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seen[y].update({f for w in words.as_py() for f in features_of(w)})
+        names = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["feature", "pos", "neg"])
+
+
 class Model:
     """weights: feature -> (toxic documents, others) of n_pos and n_neg; coefficients of the logistic model over summary()."""
 
@@ -251,36 +272,41 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most FIT_PER_CLASS documents of each class that aren't held out, the same ones in every run."""
+    """Learns from at most FIT_PER_CLASS labelled documents of each class that aren't held out, the same ones in every run.
+
+    Labels other than 0 and 1 and null ids are left out; of several rows with one id one text is learnt from. If no labelled document
+    of a class is in docs, the model has the coefficients that it starts with, moved towards the class that there is.
+    """
     spark = docs.sparkSession
+    hold_batches(spark)
     language = language_model(docs, text_col)
-    may = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (remainder("doc_id", HELD_OUT_PARTS) != HELD_OUT))
+    may = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder("doc_id", HELD_OUT_PARTS) != HELD_OUT))
     counts = {r.y: r["count"] for r in may.groupBy("y").count().collect()}
     place = F.xxhash64(F.lit("toxic"), "doc_id")
     take = lambda y: may.filter(F.col("y") == y).orderBy(place, "doc_id").limit(FIT_PER_CLASS)
     ids = take(0).unionByName(take(1))  # at most 2 * FIT_PER_CLASS ids
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
     shared = spark.sparkContext.broadcast(language)
-    seen = picked.mapInArrow(_learnt(shared), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n_pos, n_neg = (min(counts.get(y, 0), FIT_PER_CLASS) for y in (1, 0))
+    known = scratch(one_of_each(picked, [F.col("doc_id"), F.col("y")]).select("y", "text").mapInArrow(_words(shared), "y int, words array<string>"), "toxic-words")
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    seen = known.mapInArrow(_learnt, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = (F.col("pos") + 0.3) / (n_pos + 0.6) / ((F.col("neg") + 0.3) / (n_neg + 0.6))
-    kept = seen.filter(F.col("pos") >= LEAST_DOCS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    top = kept.orderBy(F.desc(F.log("ratio") * F.sqrt("pos")), "feature").limit(MOST_FEATURES).collect()
-    model = Model({r.feature: (r.pos, r.neg) for r in top}, n_pos, n_neg, language)
+    kept = seen.filter(F.col("pos") >= LEAST_DOCS).filter(ratio >= LEAST_RATIO).collect()  # of the words of FIT_PER_CLASS documents
+    model = Model({r.feature: (r.pos, r.neg) for r in sorted(kept)}, n_pos, n_neg, language)
     if not n_pos or not n_neg:
         model.coefficients = np.array([2.0 if n_pos else -2.0, 0, 0, 0, 0])
         return model
     sent = spark.sparkContext.broadcast(model)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent.value.language)
         for batch in batches:
-            ys = batch.column(1).to_pylist()
-            rows = [sent.value.summary(words_of(t.as_py(), restorer), y) for t, y in zip(batch.column(0), ys, strict=True)]
+            ys = batch.column(0).to_pylist()
+            rows = [sent.value.summary(set(words.as_py()), y) for y, words in zip(ys, batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = picked.mapInArrow(summaries, "y int, x array<double>").orderBy("y", "x").collect()  # at most 2 * FIT_PER_CLASS
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], dtype=float)
+    rows = sorted((r.y, r.x) for r in known.mapInArrow(summaries, "y int, x array<double>").collect())  # at most 2 * FIT_PER_CLASS
+    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], dtype=float)
     model.coefficients = _fit_logistic(x, y, counts[1] / (counts[0] + counts[1]))
     return model
 
@@ -288,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null and empty texts have no words and score accordingly. Repeated rows each
     get a row; only the two named columns are read; an empty table gives an empty result."""
+    hold_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), (remainder(id_col, HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -302,4 +329,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, with a model learnt from labels (doc_id, toxic).
+
+    Null and empty texts have no words and score accordingly. Repeated rows each get a row, with one score. Without labels of a class,
+    or if no labelled document is in docs, all scores follow from the rest. Only the two named columns of docs are read, so other
+    names can't clash; texts of any length are scored whole; an empty table gives an empty result.
+    """
     return score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
