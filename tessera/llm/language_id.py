@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hold_batches
 from tessera.llm.sampling import remainder, stratified
 
 SPECTRUM = 1 << 14
@@ -23,6 +24,8 @@ ORDERS = (1, 2, 3)
 MARKS = 96
 RIDGE = 1e-3
 SHARPNESS = 8.0
+#: Characters of a text that are looked at together.
+PIECE = 1 << 16
 #: A score weighs the best language against so many others at most, so that it doesn't sink as languages are added.
 RIVALS = 31
 #: Labelled texts that the model is fitted on: about so many of each language, fewer if all would be over FIT_ROWS, but one at least.
@@ -36,23 +39,29 @@ ROWS_AT_ONCE = 64
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """0 for code points that are no letters, else the code point of the lower-case letter."""
-    return np.array([ord(chr(i).lower()[:1]) if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint32)
+    out = np.zeros(0x110000, dtype=np.uint32)
+    for i in range(0x110000):  # no list of all of them
+        if (c := chr(i)).isalpha():
+            out[i] = ord(c.lower()[0])
+    return out
 
 
 def places(text: str) -> np.ndarray:
-    """The places of the text's spectrum, with repeats; empty without a letter."""
-    x = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
-    if not x.any():
-        return np.zeros(0, dtype=np.int64)
-    x = x[(x > 0) | np.append(True, x[:-1] > 0)]  # one break between words
-    out = []
-    for n in ORDERS:
-        h = np.zeros(max(len(x) - n + 1, 0), dtype=np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(h)] + np.uint64(n)
-        h ^= h >> np.uint64(29)
-        out.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64))
-    return np.concatenate(out)
+    """The places of the text's spectrum; empty without a letter. Long texts go piece by piece, with the last symbols of the piece before."""
+    seen, tail, letters = np.zeros(SPECTRUM, dtype=bool), np.zeros(0, dtype=np.uint32), False
+    for at in range(0, len(text), PIECE):
+        x = _letters()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), dtype=np.uint32)]
+        letters = letters or bool(x.any())
+        x = np.concatenate([tail, x])
+        x = x[(x > 0) | np.append(True, x[:-1] > 0)]  # one break between words
+        for n in ORDERS:
+            h = np.zeros(max(len(x) - n + 1, 0), dtype=np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(h)] + np.uint64(n)
+            h ^= h >> np.uint64(29)
+            seen[((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64)] = True
+        tail = x[1 - max(ORDERS) :]
+    return np.flatnonzero(seen) if letters else np.zeros(0, dtype=np.int64)
 
 
 def spectra(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +137,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on a bounded sample of the rows that have a language and a letter and aren't held out; every language among them is
-    learnt. Only spectra of 2 KB come to the driver."""
+    learnt. Only spectra of 2 KB come to the driver, FIT_ROWS of them about and no text of a language twice. A null or repeated id or an
+    extra column is no matter; without a row to learn from the model knows no language."""
+    hold_batches(docs.sparkSession)
     may = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (remainder(id_col, HELD_OUT_PARTS) != HELD_OUT))
     sample = stratified(may.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "id", "lang", "text", FIT_PER_LANGUAGE, FIT_ROWS)
     rows = sample.select("lang", "text").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
@@ -146,6 +157,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Repeated rows each get a row; only the two named columns are read; an empty table gives an empty result.
     """
+    hold_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), (remainder(id_col, HELD_OUT_PARTS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -158,7 +170,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they were, in one of `languages` (any learnt one if None) with at least the score `least`."""
+    """The rows of docs, all columns as they were, in one of `languages` (any learnt one if None) with at least the score `least`.
+
+    Null and empty texts and those without a letter go, as do all rows if no language was learnt. Repeated rows share one fate. No
+    column name can clash. An empty table gives an empty result.
+    """
+    hold_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
