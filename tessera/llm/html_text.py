@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hold_batches
+
 #: Frequent function words of four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be at by this from or an not have but they which you were "
@@ -27,10 +30,12 @@ STOP_WORDS = frozenset(
 #: Words of class and id attributes that mark what is no article.
 OUT_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
-    "disqus dropdown footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
+    "disqus dropdown footer footnav gdpr menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
     "promo promoted promotion related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription tags toolbar topbar widget widgets login search alert header discussion teaser rail aside".split()
+    "subscription tags toolbar topbar widget widgets login search alert discussion rail aside".split()
 )
+#: Words that mark the head of a page, but within an article its own.
+HEAD_NAMES = frozenset("header masthead teaser".split())
 OUT_TAGS = frozenset("nav aside footer form button select menu dialog iframe fieldset object".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 BLOCK_TAGS = frozenset(
@@ -73,18 +78,21 @@ def _is_out(tag: str, attrs: str, article: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not OUT_NAMES.isdisjoint(_NAME.findall(value)) and tag not in ("article", "main"):
-            return True
+        if name in ("class", "id") and tag not in ("article", "main"):
+            words = _NAME.findall(value)
+            if not OUT_NAMES.isdisjoint(words) or not article and not HEAD_NAMES.isdisjoint(words):
+                return True
         if name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+    """The page's blocks with text, in order. Each tag is looked at once, however deep it stands."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, is an article, is out
-    links, at = 0, 0
+    opened: Counter[str] = Counter()
+    articles = outs = links = at = 0
     block = Block(False, False)
 
     def close() -> None:
@@ -93,7 +101,7 @@ def blocks(page: str) -> list[Block]:
             block.text = " ".join(html.unescape("".join(block.parts)).split())
             if block.text:
                 found.append(block)
-        block = Block(any(a for _, a, _ in stack), any(o for _, _, o in stack))
+        block = Block(articles > 0, outs > 0)
 
     def add(raw: str) -> None:
         if raw:
@@ -118,19 +126,25 @@ def blocks(page: str) -> list[Block]:
                 close()
             continue
         if m["end"]:
-            names = [t for t, _, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            while opened[tag]:  # what stands open above the tag closes with it
+                name, article, out = stack.pop()
+                opened[name] -= 1
+                articles -= article
+                outs -= out
+                if name == tag:
+                    break
             if tag in BLOCK_TAGS or not block.parts:
                 links = 0 if tag in BLOCK_TAGS else links
                 close()
             continue
         article = tag in ("article", "main") or 'role="main"' in m["attrs"] or "articlebody" in m["attrs"].lower()
-        out = _is_out(tag, m["attrs"], any(a for _, a, _ in stack))
+        out = _is_out(tag, m["attrs"], articles > 0)
         if tag in BLOCK_TAGS or out:
-            if tag not in ("p", "li") or out:
-                if not m["attrs"].endswith("/"):
-                    stack.append((tag, article, out))
+            if (tag not in ("p", "li") or out) and not m["attrs"].endswith("/"):
+                stack.append((tag, article, out))
+                opened[tag] += 1
+                articles += article
+                outs += out
             close()
     add(page[at:])
     close()
@@ -197,6 +211,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages. Null and empty pages, and pages without a good block, give an empty text.
     Repeated rows each get a row; only the three named columns are read; an empty table gives an empty result."""
+    hold_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
