@@ -130,7 +130,7 @@ def spans_brute(t: str) -> list[tuple]:
     for rank, rule in enumerate(secrets_scan.RULES):
         for m in re.finditer(rule.pattern, t, re.A):
             if len(m[rule.group]) >= rule.least:
-                out.append((m.start(), rank, rule.kind, m.end()))
+                out.append((m.start(rule.span), rank, rule.kind, m.end()))
     return sorted(out)
 
 
@@ -145,34 +145,72 @@ def test_secret_spans(docs, empty):
     assert secrets_scan.scan_documents(empty).count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
     old = spark.createDataFrame([("a@1", "token=abcdefghijklmnop"), ("b@1", "nothing")], "doc_id string, text string")
-    new = old.unionByName(spark.createDataFrame([("a@2", "nothing"), ("c@1", "secret: 0123456789abcdef")], "doc_id string, text string"))
-    _, first = secrets_scan.scan(old)
-    ledger = spark.createDataFrame(first.collect(), first.schema)
-    addresses, more = secrets_scan.scan(new, ledger)
-    assert more.count() == 1
-    found = secrets_scan.findings(addresses, ledger.unionByName(more))
-    assert {r.path: len(r.spans) for r in found.collect()} == {"a@1": 1, "b@1": 0, "a@2": 0, "c@1": 2}
-    _, again = secrets_scan.scan(new, ledger, version="next")
-    assert again.count() == 3
-
-
-def test_bpe_equals_the_library_and_round_trips():
-    c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern(), leaf_chars=16)
+    new = old.unionByName(spark.createDataFrame([("a@2", "nothing"), ("c@1", "secret: 0123456789abcdef"), ("c@2", "secret: 0123456789abcdef")], "doc_id string, text string"))
+    read = lambda: secrets_scan.read_ledger(spark, folder)
+    secrets_scan.update(old, folder)
+    assert read().count() == 2
+    addresses = secrets_scan.update(new, folder)
+    assert read().count() == 3  # one blob is new, two paths have it
+    found = {r.path: sorted(x.kind for x in r.spans) for r in secrets_scan.findings(addresses, read()).collect()}
+    assert found == {"a@1": ["assign"], "b@1": [], "a@2": [], "c@1": ["assign", "hex"], "c@2": ["assign", "hex"]}
+    # an edited rule is another version: it alone runs again, and what its old version found no longer counts
+    rules = tuple(secrets_scan.Rule("hex", r"[0-9a-f]{20,}", 0, 20, True) if r.kind == "hex" else r for r in secrets_scan.RULES)
+    assert secrets_scan.RULES[0].version == rules[0].version and secrets_scan.RULES[2].version != rules[2].version
+    addresses, more = secrets_scan.scan(new, read(), rules=rules)
+    assert {tuple(r.versions) for r in more.collect()} == {(rules[2].version,)} and more.count() == 3
+    addresses = secrets_scan.update(new, folder, rules=rules)
+    found = {r.path: sorted(x.kind for x in r.spans) for r in secrets_scan.findings(addresses, read(), rules).collect()}
+    assert found["c@1"] == ["assign"] and found["a@1"] == ["assign"]
+    assert secrets_scan.scan(new, read(), rules=rules)[1].count() == 0
+
+
+def library(pattern=None):
+    import base64
+
+    import tiktoken
+
+    with open(bpe.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern or bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_bpe_equals_the_library_and_round_trips(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 3)  # nearly all pieces go through the tree
+    c, want = bpe.Codec(bpe.default_ranks(), bpe.default_pattern(), leaf_chars=8, leaf_bytes=4), library()
     r = random.Random(1)
     alphabet = "ab cd'st re\n\n  \t.,!é中文0129 'll've ÀßĀ \U0001f600"
-    for _ in range(4000):
-        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 200)))
+    for k in range(6000):
+        few = alphabet if k % 3 else r.choice(["ab", " \n", "a", "0", "-=", "eyJ", "'s t"])
+        t = "".join(r.choice(few) for _ in range(r.randint(0, 200)))
         ids = c.encode(t)
-        assert ids == c.leaf(t) and c.decode(ids) == t.encode()
+        assert ids == want(t) and c.decode(ids) == t.encode()
+
+
+def test_bpe_with_another_pattern_takes_texts_whole():
+    pattern = r"\s*[\r\n]+|\s+(?!\S)|\s+|\p{L}{1,7}|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
+    c, want, r = bpe.Codec(bpe.default_ranks(), pattern, leaf_chars=8), library(pattern), random.Random(2)
+    for _ in range(500):
+        t = "".join(r.choice("ab c\n  12.é") for _ in range(r.randint(0, 200)))
+        assert c.encode(t) == want(t)
+
+
+@pytest.mark.parametrize("unit", [" ", "a", "abc", "\n", "-=", "0123456789", "é"])
+def test_bpe_of_long_runs(unit):
+    """Texts that the library can't split: the tree must decode them, and encode a shorter run as the library does."""
+    c, want = bpe.codec(bpe.default_ranks(), bpe.default_pattern()), library()
+    t = unit * (50_000 // len(unit)) + " x"
+    assert c.encode(t) == want(t)
+    t = unit * (1_000_000 // len(unit)) + " x"
+    assert c.decode(c.encode(t)) == t.encode()
 
 
 def test_bpe_digests(docs, empty):
-    c = bpe.codec(bpe.default_ranks(), bpe.default_pattern())
-    want = Counter()
+    encode, want = library(), Counter()
     for i, t, *_ in rows():
-        ids = c.leaf(t or "")
+        ids = encode(t or "")
         want[(i, len(ids), sha(" ".join(map(str, ids))), sha(t or ""))] += 1
     assert Counter(map(tuple, bpe.digests(docs).collect())) == want
     assert bpe.digests(empty).count() == 0
@@ -184,7 +222,7 @@ def mix_brute(data: list[tuple], block: int) -> dict:
     """taken of each (doc_id, size) by stepping through words."""
     by: dict = {}
     for i, t, _, s, *_ in data:
-        by.setdefault("~" if s is None else "s" + s, []).append((hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest(), i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+        by.setdefault("~" if s is None else "s" + s, []).append((hashlib.md5(f"mix:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
     sizes = {k: sum(x[2] for x in v) for k, v in by.items()}
     weights = {k: n % 3 + 1 for n, k in enumerate(sorted(by))}
     total, held = sum(sizes.values()), {}
@@ -213,11 +251,28 @@ def mix_brute(data: list[tuple], block: int) -> dict:
 
 @pytest.mark.parametrize("block", [7, 64, 1024])
 def test_mix(docs, empty, block):
-    got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(docs, block_words=block).collect())
+    out = mixing.mix(docs, block_words=block).collect()
+    got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in out)
     assert got == mix_brute(rows(), block)
+    assert all((r.first_slot is None) == (r.taken == 0) for r in out)
     assert mixing.mix(empty).count() == 0
 
 
+def test_documents_come_in_the_order_of_their_slots(docs, empty):
+    """Each document as often as it is taken, rounded; the first copies come in the order of first_slot."""
+    got = [r.doc_id for r in mixing.mixed_documents(docs, block_words=64).collect()]
+    want: Counter = Counter()
+    for (i, size, _, _, taken), n in mix_brute(rows(), 64).items():
+        want[i] += n * ((2 * taken + size) // (2 * max(size, 1)))
+    assert Counter(got) == +want
+    slots = {r.doc_id: r.first_slot for r in mixing.mix(docs, block_words=64).collect() if r.doc_id is not None}
+    whole = [i for i in dict.fromkeys(got) if i is not None and got.count(i) > 1]
+    assert [slots[i] for i in whole] == sorted(slots[i] for i in whole)
+    half = [r.source for r in mixing.mixed_documents(docs, block_words=64).collect()]
+    assert len(set(half[: len(half) // 4])) == len(set(half))  # sources are interleaved, not one after another
+    assert mixing.mixed_documents(empty).count() == 0
+
+
 def test_mix_schedule_is_spread_evenly(spark):
     per = mixing.targets(spark.createDataFrame([("sa", 1_000_000), ("sb", 1_000_000), ("sc", 500)], "skey string, source_size long"))
     got = mixing.schedule(per).orderBy("slot").collect()
@@ -254,7 +309,17 @@ def test_cascade_order_changes_no_verdict(docs):
     a = stats.select("doc_id", quality_rules.cascade(list(quality_rules.RULES)).isNull().alias("kept"))
     b = stats.select("doc_id", quality_rules.cascade(list(reversed(quality_rules.RULES))).isNull().alias("kept"))
     assert a.exceptAll(b).count() == 0
-    assert [r.name for r in quality_rules.order(stats)] == [r.name for r in quality_rules.order(stats)]
+    assert sorted(r.name for r in quality_rules.order(stats)) == sorted(r.name for r in quality_rules.RULES)
+    share = {r.name: s for r, s, cost in quality_rules.measured(stats) if cost > 0}
+    n = stats.count()
+    assert share["few_words"] == stats.filter("n_words < 50").count() / n
+
+
+def test_rules_run_by_rejections_per_cost(docs, monkeypatch):
+    cost = {r.name: 1.0 for r in quality_rules.RULES} | {"symbols": 0.01, "few_words": 5.0}
+    share = {r.name: 0.0 for r in quality_rules.RULES} | {"symbols": 0.1, "few_words": 0.6, "repeats": 0.3}
+    monkeypatch.setattr(quality_rules, "measured", lambda sample, rules: [(r, share[r.name], cost[r.name]) for r in rules])
+    assert [r.name for r in quality_rules.order(quality_rules.with_statistics(docs))][:3] == ["symbols", "repeats", "few_words"]
 
 
 def test_held_out_language_accuracy(spark, docs, empty):
@@ -303,6 +368,8 @@ def test_held_out_classifiers(spark, docs, empty, module, column):
     none = labels.filter("false")
     for d in (docs, empty):
         assert module.classify(d, none).count() == d.count()
+    assert module.classify(empty, labels).count() == 0
+    assert module.classify(docs.filter("doc_id > 20"), labels.filter("doc_id <= 20")).count() == docs.filter("doc_id > 20").count()
     assert module.classify(docs, spark.createDataFrame([(0, 1, 1), (0, 0, 0), (1, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")).count() == docs.count()
 
 
@@ -317,12 +384,60 @@ def test_statistics_do_not_depend_on_neighbours():
     assert np.allclose(each[:, quality_model.NAMES.index("word_spread")], [(sum(v) / max(len(v), 1)) ** 0.5 for v in spread])
 
 
-@pytest.mark.parametrize("text", ["1d10t", "i d i o t", "idiooot", "cl0wn", "s.c.u.m", "m0r0n"])
+@pytest.mark.parametrize("text", ["1d10t", "i d i o t", "idiooot", "cl0wn", "s.c.u.m", "m0r0n", "idi07", "i  d - i  o / t", "s/c/u/m", "s c u m", "idi0t!", "m0r0n,"])
 def test_restored_words(spark, text):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = test_restored_words.__dict__.setdefault("model", None) or toxicity.Restorer(toxicity.language_model(real))
     test_restored_words.model = r
-    assert r.restore(f"You are {text} today").split()[2] in ("idiot", "clown", "scum", "moron")
+    assert r.restore(f"You are {text} today").split()[2].strip(",!") in ("idiot", "clown", "scum", "moron")
+
+
+def test_plain_texts_keep_their_words(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = toxicity.Restorer(toxicity.language_model(real))
+    for t in ("He said: no! (See page 12.) It cost 5 euros, or 10$ at most.", "A b and C", "end.\nNew line - and more", ""):
+        assert toxicity.words_of(t, r) == set(re.findall(r"[^\W\d_]+", t.lower()))
+
+
+def viterbi_brute(cost, s: str) -> float:
+    """The least cost of any reading of s, by trying all."""
+    import itertools
+
+    best = 1e300
+    options = []
+    for ch in s + " ":
+        if ch.isalpha():
+            options.append([(ch, 0.0)])
+        elif ch in toxicity.LEET:
+            options.append([(v, toxicity.COST_SWAP) for v in toxicity.LEET[ch]] + [(" ", toxicity.COST_BREAK if ch not in "!*|+(" else 1.0)])
+        else:
+            options.append([(" ", 0.0), ("", toxicity.COST_DROP)])
+    for reading in itertools.product(*options):
+        for said in itertools.product((True, False), repeat=len(reading)):
+            a, b, last, total, ok = 0, 0, "", 0.0, True
+            for k, ((out, extra), aloud) in enumerate(zip(reading, said, strict=True)):
+                run = any(len({*s[j : j + 3]}) == 1 and len(s[j : j + 3]) == 3 for j in range(max(k - 2, 0), k + 1))
+                if out == "" or out == " " and b == 0:
+                    ok, total = ok and aloud, total + extra
+                elif aloud:
+                    v = toxicity.symbol(out)
+                    total += extra + cost[a][b][v]
+                    a, b, last = b, v, out
+                else:  # the same letter again, unsaid
+                    ok = ok and out == last and toxicity.symbol(out) > 0 and run
+                    total += extra + toxicity.COST_REPEAT
+            if ok:
+                best = min(best, total)
+    return best
+
+
+@pytest.mark.parametrize("s", ["1d10", "a$$", "heee", "l|+", "4|l", "t00", "@bb", "0", "x!y"])
+def test_viterbi_finds_the_cheapest_reading(s):
+    import numpy as np
+
+    model = -np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.SYMBOLS), size=(toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    r = toxicity.Restorer(model)
+    assert abs(r.cheapest(s)[0] - viterbi_brute(model.tolist(), s)) < 1e-9
 
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><a href="/">Home</a> Site</header>

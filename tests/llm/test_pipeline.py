@@ -22,11 +22,11 @@ def test_pipeline(spark, sf):
     kept = [i for i, (_, component) in near.items() if component == i]
     c, want = bpe.codec(bpe.default_ranks(), bpe.default_pattern()), Counter()
     for (i, size, _, _, taken), n in mix_brute([(i, rows[i].text, None, rows[i].source) for i in kept], 1024).items():
-        ids = c.leaf(rows[i].text)
+        ids = c.encode(rows[i].text)
         want[(i, len(ids), sha(rows[i].text))] += n * ((2 * taken + size) // (2 * max(size, 1)))
     got = corpus_pipeline.run(spark, sf).collect()
     assert Counter((r.doc_id, r.n_tokens, r.text_sha256) for r in got) == +want
-    assert all(r.token_ids == c.leaf(rows[r.doc_id].text) for r in got)
+    assert all(r.token_ids == c.encode(rows[r.doc_id].text) for r in got)
 
 
 def test_stages_keep_the_columns_of_documents(spark, sf):
