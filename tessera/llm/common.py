@@ -23,7 +23,7 @@ HOT_SHARE = 1 / 1000
 #: Tables of narrow rows are broadcast up to so many; larger ones are joined by a shuffle.
 FEW_ROWS = 400_000
 #: Bytes of an Arrow batch that goes to Python, and of the texts that are held at once there, or one row.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _own_root: list[str] = []
 
