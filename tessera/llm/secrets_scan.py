@@ -24,7 +24,7 @@ from tessera.llm.common import FEW_ROWS, _hadoop, join_hot, scratch, scratch_roo
 @dataclass(frozen=True)
 class Rule:
     """kind: the name in a span. pattern: a regex that Java and RE2 read alike. group and least: matches whose group is shorter are
-    dropped. span: the group that is reported; it ends where the match ends."""
+    dropped. span: the group that is reported; it ends where the match ends. needs: what every match contains, looked for first."""
 
     kind: str
     pattern: str
@@ -32,6 +32,7 @@ class Rule:
     least: int
     base: bool = False
     span: int = 0
+    needs: str = ""
 
     @property
     def version(self) -> str:
@@ -42,10 +43,10 @@ class Rule:
 #: bound, since Java takes a stack frame for each turn, and a token of a web token starts only where no other can go on.
 RULES = (
     Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True, needs="AKIA"),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("pem", r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----", 0, 1),
-    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1, False, 1),
+    Rule("pem", r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----", 0, 1, needs="PRIVATE KEY-----"),
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1, False, 1, needs="eyJ"),
     Rule("platform", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 1),
 )
 SPAN = "struct<start:bigint,rank:int,kind:string,stop:bigint,version:string>"
@@ -97,7 +98,8 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
     # the last piece has no match after it
     found = let(parts, lambda p: let(F.slice(p, 1, F.size(p) - 1), lambda m: F.when(F.size(m) <= BLOCK, _placed(m, zero, rule, rank)).otherwise(in_blocks(m))))
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(NONE))
+    there = text.rlike(rule.pattern)
+    return F.when(text.contains(rule.needs) & there if rule.needs else there, found).otherwise(F.array().cast(NONE))
 
 
 def find(text: Column, rules: tuple[Rule, ...] = RULES, asked: Column | None = None) -> Column:
