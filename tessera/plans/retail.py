@@ -63,26 +63,26 @@ def top3_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previous_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales(spark, sf_dir).select("sale_id", "sale_date", "amount")
-    return global_lag(s, "amount", F.trunc("sale_date", "month"), ["sale_date", "sale_id"], "previous_amount")
+    return global_lag(s, "amount", ["sale_date", "sale_id"], "previous_amount")
 
 
 def next_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales(spark, sf_dir).select("sale_id", "sale_date", "amount")
-    return global_lead(s, "amount", F.trunc("sale_date", "month"), ["sale_date", "sale_id"], "next_amount")
+    return global_lead(s, "amount", ["sale_date", "sale_id"], "next_amount")
 
 
 def sale_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return global_rank(sales(spark, sf_dir).select("sale_id", "amount"), "amount", 1000, "sale_rank")
+    return global_rank(sales(spark, sf_dir).select("sale_id", "amount"), "amount", "sale_rank")
 
 
 def category_sale_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales(spark, sf_dir).join(_products(spark, sf_dir), "product_id").select("sale_id", "category", "product_name", "amount")
-    return ranked(s, ["category"], [F.col("amount").desc()], "category_rank")
+    return global_rank(s, "amount", "category_rank", ["category"])
 
 
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales(spark, sf_dir).select("sale_id", "sale_date", "amount")
-    out = global_moving_sum(s, "amount", F.trunc("sale_date", "month"), ["sale_date", "sale_id"], 2, "_sum", "_n")
+    out = global_moving_sum(s, "amount", ["sale_date", "sale_id"], 2, "_sum", "_n")
     return out.select("sale_id", "sale_date", "amount", half_up(F.col("_sum").cast("double") / F.col("_n"), 2).alias("moving_average"))
 
 
@@ -141,13 +141,13 @@ QUERIES = {
 }
 ORACLE = {
     "a2_top3_products": _rank_sql("rank", "revenue_rank") + " QUALIFY revenue_rank <= 3",
-    "a2_previous_sale": f"WITH {SALES} {_SALE_ROW}, lag(amount) OVER (ORDER BY sale_date, sale_id) AS previous_amount FROM sales",
-    "a2_next_sale": f"WITH {SALES} {_SALE_ROW}, lead(amount) OVER (ORDER BY sale_date, sale_id) AS next_amount FROM sales",
+    "a2_previous_sale": f"WITH {SALES} {_SALE_ROW}, lag(amount) OVER (ORDER BY sale_date, sale_id, amount) AS previous_amount FROM sales",
+    "a2_next_sale": f"WITH {SALES} {_SALE_ROW}, lead(amount) OVER (ORDER BY sale_date, sale_id, amount) AS next_amount FROM sales",
     "a2_sale_rank": f"WITH {SALES} SELECT sale_id, amount, rank() OVER (ORDER BY amount DESC) AS sale_rank FROM sales",
     "a2_category_sale_rank": f"WITH {SALES} SELECT sale_id, p_brand AS category, p_name AS product_name, amount, rank() OVER (PARTITION BY p_brand ORDER BY amount DESC) AS category_rank FROM sales JOIN part ON product_id = p_partkey",
     "a2_product_rank": _rank_sql("rank", "category_rank"),
     "a2_moving_average": f"""WITH {SALES} {_SALE_ROW}, CAST(round(CAST(CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w AS DECIMAL(38,10)), 2) AS DECIMAL(28,2)) AS moving_average
-        FROM sales WINDOW w AS (ORDER BY sale_date, sale_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+        FROM sales WINDOW w AS (ORDER BY sale_date, sale_id, amount ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
     "a2_product_row_number": _rank_sql("row_number", "place", ", product_id"),
     "a2_product_dense_rank": _rank_sql("dense_rank", "place"),
     "a2_sales_report": f"WITH {SALES} SELECT sale_id, c_name AS customer_name, n_name AS city, p_brand AS category, p_name AS product_name, sale_date, quantity, amount FROM sales {_CUSTOMER} JOIN part ON product_id = p_partkey",
