@@ -34,19 +34,17 @@ KEYS_F4 = {"type": "entity_type", "entity": "entity_type", "role": "entity_type"
 #: Columns of semicolon lines.
 COLUMNS_F5 = ("event_timestamp", "entity_type", "email_address", "tool", "resource_url", "latitude", "longitude", "ip_address", "action_phrase", "status")
 LOG_LEVELS = ("TRACE", "DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "CRITICAL", "FATAL")
+#: What an address inside another field is called.
+ADDRESS_KINDS = {"resource_url": "ip_like_in_resource", "tool": "ip_like_in_tool"}
 NO_RESOURCE = "an unspecified resource"
 NO_ACTOR = "anonymous"
-#: Shapes of timestamps in the order in which they are tried; the named groups say what is read.
+#: Shapes of timestamps in the order in which they are tried. Y M D H I S are year, month, day, hour, minute and second with all digits,
+#: m d h with one or two; N a month's name, P a day padded with a blank, s seconds that may lack, F a fraction, A the half of the day,
+#: T what parts date and time, Z and O zones, E and L seconds and milliseconds since 1970.
 SHAPES = (
-    ("epoch_milliseconds", r"[0-9]{13}"),
-    ("epoch_seconds", r"[0-9]{10}"),
-    ("iso8601", r"(?P<y>[0-9]{4})-(?P<mo>[0-9]{2})-(?P<d>[0-9]{2})[Tt ](?P<h>[0-9]{2}):(?P<mi>[0-9]{2}):(?P<s>[0-9]{2})(?P<f>[.][0-9]{1,6})?(?P<z>[Zz]|[+-][0-9]{2}:[0-9]{2}| [A-Z]{2,5})?"),
-    ("apache_clf", r"(?P<d>[0-9]{2})/(?P<mn>[A-Z][a-z]{2})/(?P<y>[0-9]{4}):(?P<h>[0-9]{2}):(?P<mi>[0-9]{2}):(?P<s>[0-9]{2}) (?P<z>[+-][0-9]{4})"),
-    ("us_mdy_12h", r"(?P<mo>[0-9]{1,2})/(?P<d>[0-9]{1,2})/(?P<y>[0-9]{4}) (?P<h>[0-9]{1,2}):(?P<mi>[0-9]{2})(?::(?P<s>[0-9]{2}))? (?P<ap>[AP]M)"),
-    ("syslog_rfc3164", r"(?P<mn>[A-Z][a-z]{2}) (?P<d>[ 0-9][0-9]) (?P<h>[0-9]{2}):(?P<mi>[0-9]{2}):(?P<s>[0-9]{2})"),
-    ("dmy_dash", r"(?P<d>[0-9]{2})-(?P<mo>[0-9]{2})-(?P<y>[0-9]{4}) (?P<h>[0-9]{2}):(?P<mi>[0-9]{2})(?::(?P<s>[0-9]{2}))?"),
-    ("ymd_slash", r"(?P<y>[0-9]{4})/(?P<mo>[0-9]{2})/(?P<d>[0-9]{2}) (?P<h>[0-9]{2}):(?P<mi>[0-9]{2}):(?P<s>[0-9]{2})"),
-    ("compact_basic", r"(?P<y>[0-9]{4})(?P<mo>[0-9]{2})(?P<d>[0-9]{2})T(?P<h>[0-9]{2})(?P<mi>[0-9]{2})(?P<s>[0-9]{2})"),
-)
+    ("epoch_milliseconds", "%L"), ("epoch_seconds", "%E"), ("iso8601", "%Y-%M-%D%T%H:%I:%S%F%Z"), ("apache_clf", "%D/%N/%Y:%H:%I:%S %O"), ("us_mdy_12h", "%m/%d/%Y %h:%I%s %A"),
+    ("syslog_rfc3164", "%N %P %H:%I:%S"), ("dmy_dash", "%D-%M-%Y %H:%I%s"), ("ymd_slash", "%Y/%M/%D %H:%I:%S"), ("compact_basic", "%Y%M%DT%H%I%S"),
+)
+EPOCHS = {"epoch_milliseconds": "milliseconds", "epoch_seconds": "seconds"}
 #: Zone abbreviations that are read, in minutes east of UTC.
 ZONES = {"UTC": 0, "GMT": 0, "IST": 330, "EST": -300, "EDT": -240, "PST": -480, "PDT": -420, "CET": 60, "CEST": 120, "BST": 60, "JST": 540}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.logs import parser
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 #: The same text for both engines. Each line has its parts as columns, so that the answer is known without reading the line.
 _PARTS = """SELECT o_orderkey AS log_id, o_orderkey % 6 AS shape,
@@ -23,7 +23,7 @@ _LINE = """SELECT *, CASE shape
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
     spark.sql(_PARTS).createOrReplaceTempView("parts")
     return spark.sql(_LINE)
 
