@@ -5,7 +5,10 @@ A rule is a code and a condition; a null condition passes. One evaluated table f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import half_up, parse_decimal
@@ -17,6 +20,7 @@ REQUIRED = (
     "unit_price", "amount", "currency", "payment_method", "order_status", "city", "batch_ts",
 )
 STATES = ("PLACED", "SHIPPED", "DELIVERED", "CANCELLED", "RETURNED")
+#: Fixed value: the pattern of an address.
 EMAIL = r"^(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,})$"
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 CODES = (
@@ -113,6 +117,35 @@ def daily_report(evaluated: DataFrame, zone: str = "Asia/Kolkata", bad_threshold
     return x.withColumn("remarks", F.concat(rate, volume, top)).select("report_date", "total", "good", "bad", "good_pct", "bad_pct", "files", "reasons", "previous_total", "change", "change_pct", "days", "avg_total", "avg_bad", "trend", "status", "remarks")
 
 
+#: What a report row says when the run before it failed.
+FAILED_REMARK = "The run failed; see details."
+
+
+def verified_report(report: DataFrame, complete: bool, fresh: bool) -> DataFrame:
+    """The report with the status FAILED if rows are missing or counted twice, or if the tables behind it are older than the landed rows."""
+    why = "; ".join(text for ok, text in ((complete, "rows do not add up"), (fresh, "tables are not up to date")) if not ok)
+    failed = F.lit(not (complete and fresh))
+    return report.withColumn("status", F.when(failed, "FAILED").otherwise(F.col("status"))).withColumn("details", F.lit(why or None).cast("string"))
+
+
+def failure_row(spark: SparkSession, day: str, error: BaseException, like: DataFrame) -> DataFrame:
+    """The row of a day whose run broke off: the columns of `like`, nulls but for the date, the status, the remark and the error."""
+    known = {"report_date": F.lit(day).cast("date"), "status": F.lit("FAILED"), "remarks": F.lit(FAILED_REMARK), "details": F.lit(f"{type(error).__name__}: {error}"[:1000])}
+    names = [*like.columns, *[c for c in known if c not in like.columns]]
+    kinds = dict(like.dtypes)
+    return spark.range(1).select(*[known.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in names])
+
+
+def run_report(spark: SparkSession, day: str, build: Callable[[], DataFrame], put: Callable[[DataFrame], None], like: DataFrame) -> None:
+    """Builds the day's report and puts it away; if that fails, a failure row is put away as far as that goes, and the error goes on."""
+    try:
+        put(build())
+    except Exception as error:
+        with contextlib.suppress(Exception):
+            put(failure_row(spark, day, error, like))
+        raise
+
+
 def merge(target: DataFrame, source: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Keyed upsert: matched rows take the source's values, keep created_at and count one more run; others are inserted or stay.
 

@@ -46,6 +46,20 @@ def line_profile(spark, sf_dir):
     return parser.profile(parser.parse_logs(lines(spark, sf_dir).select("log_id", "raw_log")))
 
 
+def accuracy(spark, sf_dir):
+    """By field, lines and those whose value and validity are as the answer key has them. The key comes from the parts, not from the line."""
+    parts = lines(spark, sf_dir)
+    known = F.col("shape") < 5
+    value = {
+        "entity_type": F.col("entity"), "email_address": F.col("email"), "resource_url": F.col("resource"), "event_timestamp": F.when(F.col("shape") == 3, "01/Mar/2026:00:00:00 +0000").otherwise(F.col("ts")),
+        "tool": F.col("tool"), "latitude": F.col("lat"), "longitude": F.col("lon"), "ip_address": F.col("ip"), "action_phrase": F.col("action"), "status": F.when(F.col("shape") != 4, F.col("status")),
+    }
+    wrong = {"entity_type": F.col("entity") == "Robot", "email_address": F.col("email").contains(".."), "ip_address": F.col("ip") == "10.0.0.300", "status": F.col("status") == "nope"}
+    key = F.array(*[F.struct(F.lit(f).alias("field"), F.when(known, v).alias("value"), F.when(~known | v.isNull(), "MISSING").when((F.lit(f) == "status") & (v == "-"), "PLACEHOLDER").when(wrong.get(f, F.lit(False)), "INVALID").otherwise("VALID").alias("validity")) for f, v in value.items()])
+    expected = parts.select("log_id", F.inline(key))
+    return parser.accuracy(parser.parse_logs(parts.select("log_id", "raw_log")), expected)
+
+
 def inexact_values(spark, sf_dir):
     x = lines(spark, sf_dir).select("log_id", "raw_log")
     return parser.inexact(x, parser.parse_logs(x)).agg(F.count("*").alias("n"))
@@ -71,7 +85,7 @@ p AS (SELECT log_id, family, CASE WHEN shape = 5 THEN 'BROKEN' WHEN 'INVALID' IN
   {", ".join(f"CASE WHEN shape <> 5 THEN {c} END AS {n}" for c, n in (("entity", "entity_type"), ("email", "email_address"), ("resource", "resource_url"), ("ts", "event_timestamp"), ("tool", "tool"), ("lat", "latitude"), ("lon", "longitude"), ("ip", "ip_address"), ("action", "action_phrase"), ("status", "status")))},
   {", ".join(f"CASE WHEN shape = 5 THEN 'MISSING' ELSE {c} END AS {n}_validity" for c, n in (("ev", "entity_type"), ("mv", "email_address"), ("'VALID'", "resource_url"), ("'VALID'", "event_timestamp"), ("'VALID'", "tool"), ("'VALID'", "latitude"), ("'VALID'", "longitude"), ("iv", "ip_address"), ("'VALID'", "action_phrase"), ("sv", "status")))} FROM w)"""
 _FIELDS = "entity_type email_address resource_url event_timestamp tool latitude longitude ip_address action_phrase status".split()
-QUERIES = {f"logs_{f.__name__}": f for f in (parsed, flat, field_states, line_profile, inexact_values, ports, input_fingerprint)}
+QUERIES = {f"logs_{f.__name__}": f for f in (parsed, flat, field_states, line_profile, accuracy, inexact_values, ports, input_fingerprint)}
 ORACLE = {
     "logs_parsed": f"WITH {_SQL} SELECT * FROM p",
     "logs_flat": f"""WITH {_SQL} SELECT log_id, family, record_validity, CASE WHEN entity_type_validity = 'VALID' THEN upper(replace(entity_type, ' ', '_')) END AS entity_code,
@@ -80,6 +94,7 @@ ORACLE = {
         CASE WHEN ip_address_validity = 'VALID' THEN 4 END AS ip_version, CASE WHEN status IN ('200', '404') THEN CAST(status AS INT) END AS status_code, CASE WHEN status = 'DENIED' THEN 'DENIED' END AS status_word FROM p""",
     "logs_field_states": f"WITH {_SQL} SELECT field, validity, missing_reason, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{f}' AS field, {f}_validity AS validity, CASE WHEN {f} IS NULL THEN 'absent' END AS missing_reason FROM p" for f in _FIELDS)}) GROUP BY ALL",
     "logs_line_profile": f"WITH {_SQL} SELECT family, CASE family WHEN 'F1' THEN 'pipe-delimited' WHEN 'F2' THEN 'template-A' WHEN 'F3' THEN 'rfc5424' WHEN 'F4' THEN 'ipv4' WHEN 'F5' THEN 'iso8601' END AS sub_format, record_validity, count(*) AS n, CAST(0 AS BIGINT) AS truncated FROM p GROUP BY ALL",
+    "logs_accuracy": f"SELECT f AS field, count(*) AS n_rows, count(*) AS \"right\" FROM orders CROSS JOIN (SELECT unnest({_FIELDS}) AS f) GROUP BY f",
     "logs_inexact_values": "SELECT CAST(0 AS BIGINT) AS n",
     "logs_ports": "SELECT '443' AS value, count(*) AS n FROM orders WHERE o_orderkey % 6 = 4 HAVING count(*) > 0",
     "logs_input_fingerprint": f"WITH {_SQL} SELECT count(*) AS n_rows, count(raw_log) AS with_text, count(*) FILTER (WHERE raw_log = '') AS empty, CAST(sum(length(raw_log)) AS BIGINT) AS n_chars, CAST(sum(strlen(raw_log)) AS BIGINT) AS n_octets FROM raw",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import documents_json, events, generated, insurance, learning, logs, order_quality, people, retail, scalars, spatial, streams
+from tessera.plans import documents_json, events, generated, insurance, learning, logs, order_quality, people, relations, retail, scalars, spatial, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retail, insurance, order_quality, people, spatial, events, documents_json, logs, scalars, learning, generated, streams)
+MODULES = (retail, insurance, order_quality, people, spatial, events, documents_json, logs, relations, scalars, learning, generated, streams)
 
 
 def queries() -> dict[str, Query]:

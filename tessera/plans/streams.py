@@ -16,10 +16,14 @@ def _folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # when the application ends
+    return folder
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

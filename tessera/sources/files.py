@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts that a landing file uses for null.
 NULLS = ("", "NULL", "null")
+#: Rows of a JSON array at most.
+ARRAY_ROWS = 100_000
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +46,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, mode="errorifexists")
 
 
-def json_array(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row with the exact JSON array of a small table (a report); large ones go out as a line for each row."""
+def json_array(df: DataFrame, order: list[str], most: int = ARRAY_ROWS) -> DataFrame:
+    """One row with the exact JSON array of a small table (a report); over `most` rows raise ValueError: large tables go out as a line
+    for each row, by write_json_lines."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are too many for one array")
     item = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], item.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("json"))
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """A JSON object on each line, nulls written out; each task writes its own rows."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).write.text(path)
+
+
+def json_name(path: str) -> str:
+    """The name of the JSON file of a CSV file."""
+    return path.removesuffix(".csv") + ".json"
+
+
+def is_safe_name(name: str | Column) -> Column:
+    """Whether a file's name is made of letters, digits, dots, hyphens and underscores only."""
+    return (F.col(name) if isinstance(name, str) else name).rlike(r"\A[A-Za-z0-9._-]+\z")
+
+
 def write_dated(df: DataFrame, path: str, ts: str) -> None:
     """year=/month=/day= folders, which later reads prune."""
     d = df.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"), "day": F.date_format(ts, "dd")})

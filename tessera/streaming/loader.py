@@ -7,12 +7,13 @@ columns; a value that doesn't fit its column's type sends that row, not the batc
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.streaming import messages
+from tessera.streaming.upkeep import with_retries
 
 #: The columns that the table starts with.
 KNOWN = {"EVENT_ID": "string", "EVENT_TIME": "timestamp", "ORDER_ID": "string", "CUSTOMER_ID": "bigint", "PRODUCT": "string", "QUANTITY": "bigint", "UNIT_PRICE": "double", "STATUS": "string"}
@@ -20,17 +21,30 @@ KNOWN = {"EVENT_ID": "string", "EVENT_TIME": "timestamp", "ORDER_ID": "string",
 MOST_NEW = 100
 
 
-def plan_splits(record_columns: list[set[str]], known: set[str], limit: int) -> list[tuple[int, int]]:
-    """Cuts records, in order, into (start, end) parts of which none brings over `limit` columns that those before it lack."""
-    parts, start, seen, fresh = [], 0, set(known), set()
-    for i, columns in enumerate(record_columns):
-        if len(columns - seen - fresh) + len(fresh) > limit and i > start:
-            parts.append((start, i))
-            start, seen, fresh = i, seen | fresh, set()
-        fresh |= columns - seen
-        if len(fresh) > limit:
-            raise ValueError(f"record {i} alone brings {len(fresh)} new columns")
-    return [*parts, (start, len(record_columns))]
+@dataclass(frozen=True)
+class Result:
+    """What became of a part of a batch, or of the whole."""
+
+    loaded: int
+    rejected: int
+    new_columns: tuple[str, ...]
+    parts: int = 1
+
+    @property
+    def status(self) -> str:
+        if not self.rejected:
+            return "LOADED"
+        return "PARTIALLY_LOADED" if self.loaded else "LOAD_FAILED"
+
+
+def combined(results: list[Result]) -> Result:
+    return Result(sum(r.loaded for r in results), sum(r.rejected for r in results), tuple(c for r in results for c in r.new_columns), sum(r.parts for r in results))
+
+
+def parts_of(new_columns: list[str], limit: int) -> dict[str, int]:
+    """Columns in the order in which they first appear, dealt to parts of `limit` each. A record belongs to the last part of its columns, so a
+    part, loaded after those before it, brings `limit` new columns at most."""
+    return {c: i // limit for i, c in enumerate(new_columns)}
 
 
 def type_of(text: Column) -> Column:
@@ -54,6 +68,8 @@ class Loader:
     spark: SparkSession
     root: str
     most_new: int = MOST_NEW
+    #: Arguments of upkeep.with_retries; without any, a failure ends the query, which goes on from its checkpoint when started again.
+    retries: dict = field(default_factory=dict)
 
     def _schema_log(self) -> dict[str, str]:
         try:
@@ -64,33 +80,57 @@ class Loader:
             rows = []
         return dict(KNOWN) | {r.column: r.kind for r in sorted(rows, key=lambda r: -r.batch_id)}
 
-    def load(self, batch: DataFrame, batch_id: int) -> None:
-        """The function for foreachBatch."""
+    def _clear(self, folder: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def load(self, batch: DataFrame, batch_id: int) -> Result:
+        """Loads a batch, in parts if it brings over most_new columns. A part that holds other than its rows is a failure: the batch then
+        stays uncommitted and runs again."""
         rows = messages.with_metadata(messages.parsed(batch), F.current_timestamp()).persist()
         try:
             known = {c: k for c, k in self._schema_log().items()}
             fresh = F.array_except(F.map_keys("fields"), F.array(*map(F.lit, known)))
             rows2 = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.size(fresh) > self.most_new, f"message brings over {self.most_new} new fields")))
             good = rows2.filter("reject_reason IS NULL")
-            entries = good.select(F.explode(F.map_filter("fields", lambda k, _: ~k.isin(list(known)))).alias("column", "text"))
+            entries = good.select(F.struct("_KAFKA_PARTITION", "_KAFKA_OFFSET").alias("at"), F.explode(F.map_filter("fields", lambda k, _: ~k.isin(list(known)))).alias("column", "text"))
             # a row for each new column; all values of a type vote for it, mixed ones make text
-            new = entries.groupBy("column").agg(F.collect_set(type_of(F.col("text"))).alias("kinds")).select("column", F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("string").alias("kind"))
-            added = {r.column: r.kind for r in new.orderBy("column").collect()}
-            columns = known | added
+            kinds = F.collect_set(type_of(F.col("text")))
+            new = entries.groupBy("column").agg(kinds.alias("kinds"), F.min("at").alias("at")).select("column", "at", F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise("string").alias("kind"))
+            added = {r.column: r.kind for r in new.orderBy("at", "column").collect()}
+            columns, part_of = known | added, parts_of(list(added), self.most_new)
             casts = {c: cast_to(F.col("fields")[c], k) for c, k in columns.items()}
             conflict = F.array_compact(F.array(*[F.when(F.col("fields")[c].isNotNull() & v.isNull(), F.lit(c)) for c, v in casts.items()]))
             judged = rows2.withColumn("_bad", F.when(F.col("reject_reason").isNull(), conflict))
             judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.size("_bad") > 0, F.concat(F.lit("value does not fit column "), F.array_join("_bad", ", ")))))
-            data = judged.filter("reject_reason IS NULL").select(*[casts[c].alias(c) for c in columns], *messages.METADATA)
+            own = F.lit(0)
+            if len(set(part_of.values())) > 1:
+                places = F.create_map(*[F.lit(x) for pair in part_of.items() for x in pair])
+                own = F.coalesce(F.array_max(F.transform(F.array_intersect(F.map_keys("fields"), F.map_keys(places)), lambda c: places[c])), F.lit(0))
+            judged = judged.withColumn("_part", own).persist()
+            good = judged.filter("reject_reason IS NULL")
             dead = judged.filter("reject_reason IS NOT NULL").select("key", "value", "reject_reason", *messages.METADATA[:4])
             at = f"batch_id={batch_id}"
-            data.write.mode("overwrite").parquet(f"{self.root}/data/{at}")
+            self._clear(f"{self.root}/data/{at}")  # of an attempt that failed
+            expected = {r["_part"]: r["count"] for r in good.groupBy("_part").count().collect()}
+            results = []
+            for part in sorted({0, *part_of.values()}):
+                there = [c for c in columns if part_of.get(c, 0) <= part]
+                folder = f"{self.root}/data/{at}/load_part={part}"
+                good.filter(F.col("_part") == part).select(*[casts[c].alias(c) for c in there], *messages.METADATA).write.mode("overwrite").parquet(folder)
+                loaded = self.spark.read.parquet(folder).count()
+                if loaded != expected.get(part, 0):
+                    raise RuntimeError(f"part {part} of batch {batch_id} holds {loaded} rows of {expected.get(part, 0)}")
+                results.append(Result(loaded, 0, tuple(c for c, p in part_of.items() if p == part)))
             dead.write.mode("overwrite").parquet(f"{self.root}/dead/{at}")
             if added:
                 log = self.spark.createDataFrame([(c, k, batch_id) for c, k in added.items()], "column string, kind string, batch_id long")
                 log.coalesce(1).write.mode("overwrite").json(f"{self.root}/schema_log/{at}")
             counts = judged.agg(F.count("*").alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("loaded"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"), F.min("_KAFKA_OFFSET").alias("first_offset"), F.max("_KAFKA_OFFSET").alias("last_offset"))
-            counts.withColumn("new_columns", F.lit(",".join(added))).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/audit/{at}")
+            total = combined([*results, Result(0, counts.first().rejected, (), 0)])
+            counts.withColumns({"new_columns": F.lit(",".join(total.new_columns)), "parts": F.lit(total.parts), "status": F.lit(total.status)}).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/audit/{at}")
+            judged.unpersist()
+            return total
         finally:
             rows.unpersist()
 
@@ -113,5 +153,5 @@ class Loader:
 
     def run(self, source: DataFrame, once: bool = True):
         """Starts the query; offsets are committed only when a batch's writes have returned."""
-        w = source.writeStream.foreachBatch(self.load).option("checkpointLocation", f"{self.root}/checkpoint")
+        w = source.writeStream.foreachBatch(lambda batch, i: with_retries(lambda: self.load(batch, i), **self.retries) if self.retries else self.load(batch, i)).option("checkpointLocation", f"{self.root}/checkpoint")
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")).start()

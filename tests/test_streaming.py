@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import cdc, loader, messages, windows
+from tessera.streaming import cdc, kafka, loader, messages, upkeep, windows
 
 GOOD = {"event_id": "e1", "event_time": "2026-10-06T12:23:49.370Z", "order_id": "O1", "customer_id": 7, "product": "pen", "quantity": 2, "unit_price": 1.5, "status": "NEW"}
 
@@ -83,12 +83,87 @@ def test_column_names(spark, name, want):
     assert spark.range(1).select(messages.column_name(F.lit(name))).first()[0] == want
 
 
-def test_plan_splits():
-    assert loader.plan_splits([{"a"}, {"b"}, {"c"}], set(), 2) == [(0, 2), (2, 3)]
-    assert loader.plan_splits([{"a", "b"}, {"a", "b"}, {"c"}], {"c"}, 2) == [(0, 3)]
-    assert loader.plan_splits([], set(), 2) == [(0, 0)]
-    with pytest.raises(ValueError):
-        loader.plan_splits([{"a"}, {"b", "c", "d"}], set(), 2)
+def test_a_batch_is_loaded_in_parts_of_few_new_columns(spark, land, tmp_path):
+    land([GOOD | {"event_id": f"p{i}", f"c{2 * i}": 1, f"c{2 * i + 1}": "x"} for i in range(4)] + [GOOD | {"event_id": "p4", "c0": 2, "c7": "y"}, GOOD | {"event_id": "p5"}])
+    job = run(spark, tmp_path, most_new=3)
+    t = job.table()
+    assert t.count() == 6 and {f"C{i}" for i in range(8)} <= set(t.columns)
+    a = job.audit().first()
+    assert (a.parts, a.status, a.loaded, a.rejected) == (3, "LOADED", 6, 0) and len(a.new_columns.split(",")) == 8
+    known = set(loader.KNOWN) | set(messages.METADATA)
+    for part in range(3):
+        new = set(spark.read.parquet(str(tmp_path / f"out/data/batch_id=0/load_part={part}")).columns) - known
+        assert len(new) <= 3 * (part + 1)
+    got = {r.EVENT_ID: r for r in t.collect()}
+    assert got["p4"].C0 == 2.0 and got["p4"].C7 == "y" and got["p5"].C0 is None
+
+
+def test_results_of_parts_add_up():
+    r = loader.combined([loader.Result(3, 0, ("A",)), loader.Result(2, 1, ("B", "C"))])
+    assert (r.loaded, r.rejected, r.new_columns, r.parts, r.status) == (5, 1, ("A", "B", "C"), 2, "PARTIALLY_LOADED")
+    assert loader.Result(0, 2, ()).status == "LOAD_FAILED" and loader.Result(0, 0, ()).status == "LOADED"
+    assert loader.parts_of(["a", "b", "c"], 2) == {"a": 0, "b": 0, "c": 1}
+
+
+def test_a_load_without_its_rows_is_a_failure(spark, land, tmp_path, monkeypatch):
+    land([GOOD])
+    job = loader.Loader(spark, str(tmp_path / "out"))
+    batch = spark.read.schema(messages.SOURCE_SCHEMA).parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path, *a, f=type(spark.read).parquet: f(self, path, *a).limit(0) if "load_part" in str(path) else f(self, path, *a))
+    with pytest.raises(RuntimeError, match="holds 0 rows of 1"):
+        job.load(batch, 0)
+
+
+def test_retries_wait_longer_each_time():
+    waits, left = [], [3]
+
+    def action():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise ValueError
+
+    assert upkeep.with_retries(action, first=1, most=3, sleep=waits.append) and waits == [1, 2, 3]
+    left[0] = 9
+    assert not upkeep.with_retries(action, stop=lambda: True, sleep=waits.append)
+
+
+def test_broker_options(spark):
+    o = kafka.source_options("host:9092", "orders", "g")
+    assert o["startingOffsets"] == "earliest" and o["maxOffsetsPerTrigger"] == "500" and o["kafka.enable.auto.commit"] == "false" and o["subscribe"] == "orders"
+    o = kafka.sink_options("host:9092", "orders")
+    assert o["kafka.enable.idempotence"] == "true" and o["kafka.acks"] == "all" and o["topic"] == "orders"
+    r = kafka.keyed(spark.createDataFrame([("O1", 5, None)], "order_id string, n int, x string"), "order_id").first()
+    assert bytes(r.key) == b"O1" and json.loads(bytes(r.value)) == {"order_id": "O1", "n": 5}
+
+
+def test_a_drained_query_has_loaded_everything(spark, land, tmp_path):
+    land([GOOD, GOOD | {"event_id": "e2"}])
+    job = loader.Loader(spark, str(tmp_path / "out"))
+    q = job.run(spark.readStream.schema(messages.SOURCE_SCHEMA).parquet(str(tmp_path / "in")), once=False)
+    upkeep.drain(q)
+    assert not q.isActive and job.table().count() == 2
+
+
+def test_refreshes_touch_only_what_has_changed(spark, tmp_path):
+    from tessera.operators import order_quality as oq
+    from tessera.sources import generators
+
+    rows = generators.orders(spark, 24).withColumn("loaded_at", F.col("loaded_at").cast("timestamp_ntz")).cache()
+    cut = rows.agg(F.max("loaded_at")).first()[0]
+    path = str(tmp_path / "curated")
+    assert upkeep.refresh(rows, path) > 1 and upkeep.is_fresh(rows, path)
+    late = rows.filter("order_id IS NOT NULL").limit(2).withColumn("loaded_at", F.lit(cut) + F.expr("INTERVAL 1 HOUR")).cache()
+    more = rows.unionByName(late)
+    assert not upkeep.is_fresh(more, path)
+    assert 1 <= upkeep.refresh(more, path) <= 2 and upkeep.is_fresh(more, path)
+    assert upkeep.refresh(more, path) == 0
+    want, got = oq.evaluate(more).select("source_file", "source_row", "loaded_at", "quality_reason"), spark.read.parquet(path).select("source_file", "source_row", "loaded_at", "quality_reason")
+    assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+
+
+def test_backfill_wants_its_columns(spark):
+    with pytest.raises(ValueError, match="missing"):
+        upkeep.backfill(spark.createDataFrame([(1,)], "a int"), ["a", "b"])
 
 
 ROW = {"id": 1, "event_id": "6F9619FF-8B86-D011-B42D-00CF4FC964FF", "event_time": "2026-10-06T17:53:49.370999+05:30", "order_id": "O1", "customer_id": 7, "quantity": 2, "unit_price": "1.50", "is_gift": False, "discount_pct": None, "loyalty_tier": "0", "shipping_address": '{"city": "Pune"}', "record_source": "app"}
