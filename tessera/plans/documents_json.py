@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, doc: canonical text with a fixed order of keys and explicit nulls."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     record = F.struct(
         F.when(F.col("o_orderkey") % 11 == 0, "BROKEN").otherwise("VALID").alias("validity"), F.concat(F.lit("F"), (F.col("o_orderkey") % 5 + 1).cast("string")).alias("family"),
         F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit("truncated"), F.lit("late"))).otherwise(F.array().cast("array<string>")).alias("diagnostics"),

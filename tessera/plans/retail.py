@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import half_up
 from tessera.operators.ordered import global_lag, global_lead, global_moving_sum, global_rank
 from tessera.operators.windows import ranked, top
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per sold line: sale_id, sale_date, customer_id, product_id, quantity, amount."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     amount = F.col("l_extendedprice").cast("decimal(18,4)") * (1 - F.col("l_discount").cast("decimal(18,4)"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
