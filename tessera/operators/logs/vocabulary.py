@@ -46,5 +46,3 @@ SHAPES = (
     ("syslog_rfc3164", "%N %P %H:%I:%S"), ("dmy_dash", "%D-%M-%Y %H:%I%s"), ("ymd_slash", "%Y/%M/%D %H:%I:%S"), ("compact_basic", "%Y%M%DT%H%I%S"),
 )
 EPOCHS = {"epoch_milliseconds": "milliseconds", "epoch_seconds": "seconds"}
-#: Zone abbreviations that are read, in minutes east of UTC.
-ZONES = {"UTC": 0, "GMT": 0, "IST": 330, "EST": -300, "EDT": -240, "PST": -480, "PDT": -420, "CET": 60, "CEST": 120, "BST": 60, "JST": 540}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators.logs import grammars, parser, validators
+from tessera.operators.logs import grammars, parser, publish, validators
 
 LINES = [
     ("F4", '10.0.0.1 - - [23/Apr/2026:17:00:00 +0000] "GET /account HTTP/1.1" 200 5120 "-" "Mozilla/5.0 (X11; Linux x86_64; rv:125.0) Gecko/20100101 Firefox/125.0" xff="203.0.113.5, 10.0.0.1" user=<ethan.murphy@corp.example.com> type=User msg="Access granted"',
@@ -67,8 +67,39 @@ def test_positions_survive_a_run_on_spark(spark):
     key = spark.createDataFrame([(i, k, x) for i, (_, _, want, _) in enumerate(LINES) for k, (x, _) in want.items()], "log_id long, field string, value string")
     got = parser.field_rows(parsed).select("log_id", "field", "value").filter("value IS NOT NULL")
     assert got.exceptAll(key).count() == 0 and key.exceptAll(got).count() == 0
-    t = {r.log_id: r for r in parser.typed(logs).collect()}
-    assert str(t[0].event_utc) == "2026-04-23 17:00:00" and t[8].event_offset_minutes == 330 and t[4].entity_code == "BOT" and float(t[4].latitude_degrees) == 48.8583333
+
+
+def test_flat_form_and_documents(spark):
+    logs = spark.createDataFrame([(i, line) for i, (_, line, *_) in enumerate(LINES)], "log_id long, raw_log string").repartition(3)
+    flat = publish.published(logs, run_id=7).cache()
+    assert len(flat.columns) == 71 and flat.count() == len(LINES)
+    t = {r.log_id: r for r in flat.collect()}
+    assert str(t[0].event_timestamp_utc) == "2026-04-23 17:00:00" and t[8].event_timestamp_utc_offset_minutes == 330 and t[4].entity_type_code == "BOT" and float(t[4].latitude_degrees) == 48.8583333
+    assert t[3].event_timestamp_shape == "iso8601" and t[3].event_timestamp_local is not None and t[3].event_timestamp_utc is None  # a zone given by its name
+    assert t[3].tool_missing_reason == "empty" and t[11].email_address_missing_reason == "sentinel" and t[3].ip_address_address is None
+    assert (t[9].status_code, t[9].status_word, t[10].status_word) == (403, None, "SUCCESS") and t[2].is_truncated and t[2].diagnostics == ["truncated"]
+    assert t[13].record_validity == "BROKEN" and t[13].event_timestamp_shape is None and t[13].run_id == 7
+    want = flat.drop("loaded_at")
+    docs = publish.documents(flat)
+    for back in (publish.leaves(docs), publish.variant_leaves(docs)):
+        assert back.schema.simpleString() == want.schema.simpleString() and back.columns == want.columns
+        assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
+    wide = publish.pivoted(parser.field_rows(parser.parse_logs(logs)))
+    assert len(wide.columns) == 51 and wide.exceptAll(flat.select(wide.columns)).count() == 0 and wide.count() == len(LINES)
+
+
+def test_flat_form_of_zones_and_shapes(spark):
+    lines = [(1, "::1;USER"), (2, "fe80::1%eth0"), (3, "2026-02-30T00:00:00Z")]
+    rows = [(i, f"2026-01-01T00:00:00Z;USER;a@b.org;t;/a;1.5;2.5;{x};read;OK" if i == 2 else f"{x if i == 3 else '2026-01-01T00:00:00Z'};USER;a@b.org;t;/a;1.5;2.5;::1;read;OK") for i, x in lines]
+    t = {r.log_id: r for r in publish.published(spark.createDataFrame(rows, "log_id long, raw_log string")).collect()}
+    assert (t[2].ip_address_address, t[2].ip_address_zone_id) == ("fe80::1", "eth0") and (t[1].ip_address_address, t[1].ip_address_zone_id) == ("::1", None)
+    assert t[3].event_timestamp_validity == "INVALID" and t[3].event_timestamp_shape == "iso8601" and t[3].event_timestamp_local is None
+
+
+def test_imprecise_coordinates(spark):
+    values = ["1.1234567", "1.12345678", "W1.12345678", "12°30'15.123\"N", "12°30'15.1234\"N", "x.123456789"]
+    flat = spark.createDataFrame([(i, x, "INVALID" if x[0] == "x" else "VALID", None, "MISSING") for i, x in enumerate(values)], "log_id long, latitude string, latitude_validity string, longitude string, longitude_validity string")
+    assert sorted(r.log_id for r in publish.imprecise(flat).collect()) == [1, 2, 4]
 
 
 def test_events_end_before_the_line_feed():
