@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import spread, table
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, doc: canonical text with a fixed order of keys and explicit nulls."""
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, d: each document as a struct."""
     o = spread(table(spark, sf_dir, "orders"))
     record = F.struct(
         F.when(F.col("o_orderkey") % 11 == 0, "BROKEN").otherwise("VALID").alias("validity"), F.concat(F.lit("F"), (F.col("o_orderkey") % 5 + 1).cast("string")).alias("family"),
@@ -20,7 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.concat(F.lit("u"), F.col("o_custkey"), F.when(F.col("o_custkey") % 2 == 0, ".org").otherwise(".com")).alias("value")).alias("email"),
         F.struct((F.col("o_custkey") % 1800 / 10 - 90).alias("degrees")).alias("latitude"), F.struct(F.col("o_orderpriority").alias("value")).alias("priority"),
     )
-    return o.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), record.alias("record"), fields.alias("fields")), {"ignoreNullFields": "false"}).alias("doc"))
+    return o.select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderkey").alias("id"), record.alias("record"), fields.alias("fields")).alias("d"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, doc: canonical text with a fixed order of keys and explicit nulls."""
+    return _objects(spark, sf_dir).select("id", F.to_json("d", {"ignoreNullFields": "false"}).alias("doc"))
 
 
 _BASE = """d AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'BROKEN' ELSE 'VALID' END AS validity, 'F' || CAST(o_orderkey % 5 + 1 AS VARCHAR) AS family, CASE WHEN o_orderkey % 7 = 0 THEN ['truncated', 'late'] ELSE [] END AS diagnostics,
@@ -33,8 +38,8 @@ def text(path: str):
 
 
 def variants(spark, sf_dir):
-    """id, v: parsed once into the binary form."""
-    return documents(spark, sf_dir).select("id", F.parse_json("doc").alias("v"))
+    """id, v: the binary form, written straight from the values; no text is written and parsed on the way."""
+    return _objects(spark, sf_dir).select("id", F.to_variant_object("d").alias("v"))
 
 
 def value(path: str, kind: str = "string"):
@@ -148,4 +153,7 @@ _SQL = {f"json_{k}": f"SELECT id FROM d WHERE {sql}" for k, (_, sql) in _WHERE.i
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1",
 }
 ORACLE = {k: f"WITH {_BASE} {v}" for k, v in _SQL.items()}
+_DOC = """concat('{"id":', id, ',"record":{"validity":"', validity, '","family":"', family, '","diagnostics":[', CASE WHEN len(diagnostics) = 0 THEN '' ELSE '"truncated","late"' END, ']},"fields":{"status":{"code":',
+  coalesce(CAST(code AS VARCHAR), 'null'), ',"word":"', word, '"},"email":{"value":"', email, '"},"latitude":{"degrees":', degrees, '},"priority":{"value":"', priority, '"}}}')"""
 QUERIES["json_whole_documents"] = whole_documents
+ORACLE["json_whole_documents"] = f"WITH {_BASE} SELECT id, md5(doc) AS digest, length(doc) AS n_chars FROM (SELECT id, {_DOC} AS doc FROM d)"
