@@ -29,6 +29,13 @@ def offset_minutes(text: Column) -> Column:
     return F.when(F.upper(text) == "Z", 0).otherwise(F.when(text.startswith("-"), -size).otherwise(size))
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 to the nearest, halves away from 1970, as the SQL twins' epoch_ms; unix_millis cuts them off."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    half = F.when(us < 0, -500).otherwise(500)
+    return F.call_function("div", us + half, F.lit(1000))
+
+
 def previous_hour(ts: Column) -> Column:
     return F.date_trunc("hour", ts) - F.expr("INTERVAL 1 HOUR")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import half_up, z_score
+from tessera.functions.times import epoch_ms
 from tessera.operators.aggregates import duplicates, gaps
 from tessera.operators.windows import latest
 from tessera.sources.tables import table
@@ -19,7 +20,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic, part, at_offset, business_id, ts, value, event_type, copy (1: delivered again), ingested_ms."""
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
     m = spark.sql(_MESSAGES)
-    return m.withColumn("ingested_ms", F.unix_millis(F.col("ts").cast("timestamp")) + 1500 + F.col("at_offset") % 7 * 1000 + F.col("copy") * 60000)
+    return m.withColumn("ingested_ms", epoch_ms(F.col("ts")) + 1500 + F.col("at_offset") % 7 * 1000 + F.col("copy") * 60000)
 
 
 _M = f"m AS (SELECT *, epoch_ms(ts) + 1500 + at_offset % 7 * 1000 + copy * 60000 AS ingested_ms FROM ({_MESSAGES}))"
@@ -31,9 +32,9 @@ def latest_by_coordinates(spark, sf_dir):
 
 
 def unique_by_business_key(spark, sf_dir):
-    """Messages without an id fall back to their coordinates, so they never collapse into one."""
+    """Messages without an id fall back to their coordinates, so they never collapse into one. Unknown times, parts and offsets come last."""
     key = F.coalesce("business_id", F.concat_ws(":", *COORDINATES))
-    return latest(messages(spark, sf_dir).withColumn("key", key), ["key"], [F.col("ingested_ms"), F.col("part"), F.col("at_offset")]).select("key", "at_offset", "value")
+    return latest(messages(spark, sf_dir).withColumn("key", key), ["key"], [F.col(c).asc_nulls_last() for c in ("ingested_ms", "part", "at_offset")]).select("key", "at_offset", "value")
 
 
 def copied_messages(spark, sf_dir):
@@ -45,8 +46,8 @@ def offset_gaps(spark, sf_dir):
 
 
 def latency(spark, sf_dir):
-    ms = F.col("ingested_ms") - F.unix_millis(F.col("ts").cast("timestamp"))
-    return messages(spark, sf_dir).groupBy("part").agg(F.sum(ms).alias("total_ms"), F.max(ms).alias("max_ms"), F.min(ms).alias("min_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ingested_ms - unix_millis(CAST(ts AS TIMESTAMP)))").alias("p95_ms"))
+    m = messages(spark, sf_dir).withColumn("ms", F.col("ingested_ms") - epoch_ms(F.col("ts")))
+    return m.groupBy("part").agg(F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"), F.min("ms").alias("min_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95_ms"))
 
 
 def health(spark, sf_dir):
