@@ -98,8 +98,7 @@ def accuracy(spark, sf_dir):
 
 
 def inexact_values(spark, sf_dir):
-    x = lines(spark, sf_dir).select("log_id", "raw_log")
-    return parser.inexact(x, parser.parse_logs(x)).agg(F.count("*").alias("n"))
+    return parser.inexact_beside(parser.parse_logs(lines(spark, sf_dir), keep=("raw_log",))).agg(F.count("*").alias("n"))
 
 
 def ports(spark, sf_dir):

@@ -138,3 +138,16 @@ def test_accuracy_of_repeated_orders_without_a_broadcast(spark, sf, tmp_path):
     got = registry.queries()["logs_accuracy"](spark, str(tmp_path))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert differences(got, str(tmp_path), registry.oracle_sql()["logs_accuracy"]) == ""
+
+
+def test_inexact_values_without_a_broadcast(spark, sf):
+    logs = spark.createDataFrame([(i, line) for i, (_, line, *_) in enumerate(LINES)], "log_id long, raw_log string")
+    moved = logs.withColumn("raw_log", F.when(F.col("log_id") == 8, F.concat(F.lit("x"), "raw_log")).otherwise(F.col("raw_log")))
+    wrong = sorted((8, f["value"], f["start_pos"]) for f in [*parser.parse(LINES[8][1])["fields"], *parser.parse(LINES[8][1])["secondary"]] if f["value"] is not None)
+    apart = parser.inexact(moved, parser.parse_logs(logs))
+    beside = parser.inexact_beside(parser.parse_logs(logs.join(moved.withColumnRenamed("raw_log", "moved"), "log_id"), keep=("moved",)), "moved")
+    for got in (apart, beside):
+        assert sorted((r.log_id, r.value, r.start_pos) for r in got.collect()) == wrong
+    query = registry.queries()["logs_inexact_values"](spark, sf)
+    for got, word in ((apart, "Broadcast"), (query, "Join")):
+        assert word not in got._jdf.queryExecution().executedPlan().toString()
